@@ -47,7 +47,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def input_bytes(df: DataFrame) -> int:
     """The size that the optimizer knows for the input: file sizes, without a pass over the rows."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_partitions(df: DataFrame) -> int:

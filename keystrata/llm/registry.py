@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from keystrata.llm import bpe, mixing, quality, sharding, simhash, urls
+from keystrata.llm import bpe, mixing, quality, sharding, simhash, substring, urls
 
-LLM_QUERIES = {f.__name__: f for f in (bpe.op1_bpe, sharding.op2_sharding, simhash.op3_simhash, urls.op4_urls, mixing.op7_mixing, quality.op8_quality)}
+LLM_QUERIES = {f.__name__: f for f in (bpe.op1_bpe, sharding.op2_sharding, simhash.op3_simhash, urls.op4_urls, substring.op5_substring, mixing.op7_mixing, quality.op8_quality)}
 
 LLM_ORACLES = {"op4_urls": urls.oracle(), "op7_mixing": mixing.ORACLE}
