@@ -21,9 +21,9 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from keystrata.llm.common import read
 
@@ -68,8 +68,12 @@ def _near(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def taken(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """sized() with source_size, target and `copies`, how often a document is taken."""
+def taken(base: DataFrame, rows: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """sized() with source_size, target and `copies`, how often a document is taken.
+
+    base is kept, as each level reads it. rows: the same documents, sized with more columns,
+    to be returned instead.
+    """
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     sums = base.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     small = sums.count() <= BROADCAST_SOURCES
@@ -91,7 +95,7 @@ def taken(base: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
             state = state.drop("s")
     limit = state.select("sk", (F.col("prefix") + F.when(F.col("s") / 2 <= F.col("rest"), 1).otherwise(0)).alias("threshold"))
     goal = goal.join(limit, "sk", "left")
-    out = base.join(_near(goal.select("sk", "source_size", "target", "whole", "threshold"), small), "sk")
+    out = (base if rows is None else rows).join(_near(goal.select("sk", "source_size", "target", "whole", "threshold"), small), "sk")
     return out.withColumn("copies", F.col("whole") + F.when(F.col("whole") >= most, 0).when(F.col("h") < F.col("threshold"), 1).otherwise(0))
 
 
@@ -99,7 +103,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     """The mix itself: each document as often as it is taken, with the columns it had."""
     extra = [c for c in docs.columns if c not in ("doc_id", "source")]
     inner = docs.select("doc_id", "source", F.struct(*extra).alias("_row"), F.col("text") if "text" in docs.columns else F.lit(None).alias("text"))
-    out = taken(sized(inner, "_row"), weights, most).filter("copies > 0")
+    out = taken(sized(docs), sized(inner, "_row"), weights, most).filter("copies > 0")
     return out.withColumn("_n", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("doc_id", "source", "_row.*").select(*docs.columns)
 
 
