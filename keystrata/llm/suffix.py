@@ -206,19 +206,37 @@ def ids_of(table: pa.Table) -> np.ndarray:
 
 
 ANSWERS = "chunk bigint, hashes binary, hot binary, names binary, first binary, last binary, least binary"
+#: Buckets of a partition, worked off one after the other.
+SPLIT = 4
 STRETCHES = "bucket int, chunk bigint, data binary, lengths binary, least binary"
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by bucket, a bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        edges = np.flatnonzero(np.diff(b.column("bucket").to_numpy())) + 1
+        start = 0
+        for end in [*edges.tolist(), b.num_rows]:
+            part = b.slice(start, end - start)
+            if held and part.num_rows and held[0].column("bucket")[0] != part.column("bucket")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if part.num_rows:
+                held.append(part)
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def answered(asks: DataFrame, n: int, hot: int) -> DataFrame:
     """Of each asked array, the anchors that are asked for twice, and which of them are hot."""
 
     def run(batches):
-        chunks, arrays = [], []
-        for b in batches:
-            chunks += b.column("chunk").to_pylist()
-            arrays += [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()]
-        if not arrays:
-            return
+        for b in by_bucket(batches):
+            yield from bucket(b.column("chunk").to_pylist(), [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()])
+
+    def bucket(chunks: list[int], arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         u, k = np.unique(np.concatenate(arrays), return_counts=True)
         known, crowded = u[k > 1], u[k > hot]
         for c, a in zip(chunks, arrays, strict=True):
@@ -226,7 +244,7 @@ def answered(asks: DataFrame, n: int, hot: int) -> DataFrame:
             if len(hit):
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "hashes": pa.array([hit.astype("<u8").tobytes()], pa.binary()), "hot": pa.array([hit[within(hit, crowded)].astype("<u8").tobytes()], pa.binary()), **{x: pa.nulls(1, pa.binary()) for x in ("names", "first", "last", "least")}})
 
-    return asks.repartition(n, "bucket").mapInArrow(run, ANSWERS)
+    return asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
 
 def gathered(table: pa.Table, column: str, kind: str) -> np.ndarray:
@@ -244,11 +262,11 @@ def window_ranks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     for k in range(8):
         packed[: n - k] |= data[k:].astype(U64) << U64(56 - 8 * k)
     rank = packed
+    del packed
     for step in (8, 16, WINDOW - 32):
-        rank = np.unique(rank, return_inverse=True)[1].astype(U64)
-        pair = rank << U64(32)
-        pair[: n - step] |= rank[step:]
-        rank = pair
+        small = np.unique(rank, return_inverse=True)[1].astype(np.uint32)
+        rank = small.astype(U64) << U64(32)
+        rank[: n - step] |= small[step:]
     at = np.flatnonzero(room >= WINDOW)
     return at, np.unique(rank[at], return_inverse=True)[1]
 
@@ -257,8 +275,12 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
     """For each chunk's stretches the windows whose smallest id lies elsewhere."""
 
     def run(batches):
+        for b in by_bucket(batches):
+            yield from bucket(b)
+
+    def bucket(b: pa.Table) -> Iterator[pa.RecordBatch]:
         chunk, parts, lows = [], [], []
-        for b in batches:
+        if b.num_rows:
             for c, d, ls, low in zip(*[b.column(x).to_pylist() for x in ("chunk", "data", "lengths", "least")], strict=True):
                 at = 0
                 for k in np.frombuffer(ls, "<u2").tolist():
@@ -309,7 +331,7 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
                 q = run_at[use]
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunk[mine[0]])], pa.int64()), "hashes": pa.nulls(1, pa.binary()), "hot": pa.nulls(1, pa.binary()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("names", names[r_place[q]].astype("<u8")), ("first", r_first[q].astype("<u2")), ("last", r_last[q].astype("<u2")), ("least", r_id[q].astype("<i8")))}})
 
-    return stretches.repartition(n, "bucket").mapInArrow(run, ANSWERS)
+    return stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
 
 def _local(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
@@ -326,7 +348,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         data = texts(table.column("text"))
         found = [Anchored(data[a:b]).anchors() for a, b in groups(data)]
-        return bucketed(table.column("chunk")[0].as_py(), twice(np.concatenate(found)), n)
+        return bucketed(table.column("chunk")[0].as_py(), twice(np.concatenate(found)), n * SPLIT)
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         known, crowded = np.sort(gathered(answers, "hashes", "<u8")), np.sort(gathered(answers, "hot", "<u8"))
@@ -340,7 +362,7 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
             asked = within(x.anchor[np.searchsorted(x.at, first)], known)
             first, last, key = first[asked], last[asked], key[asked]
             owner = ids[a:b][np.searchsorted(x.starts, first, side="right") - 1]
-            bucket = (mix(key) >> U64(32)) * U64(n) >> U64(32)
+            bucket = (mix(key) >> U64(32)) * U64(n * SPLIT) >> U64(32)
             for s, e, i, k in zip(first.tolist(), (last + WINDOW).tolist(), owner.tolist(), bucket.tolist(), strict=True):
                 p = x.bytes[s:e]
                 old = best.get(p)
