@@ -1,7 +1,7 @@
 """Language identification by unigrams of vocabulary pieces, over all segmentations.
 
-Each language has a probability for every piece of a fixed public vocabulary. A word (lower
-case, with the vocabulary's word mark before it) has, in a language, the sum of the
+Each language has a probability for every piece of a fixed public vocabulary. A word (a
+run of letters, lower case, with the vocabulary's word mark before it) has, in a language, the sum of the
 products of piece probabilities over all of its segmentations, which a forward pass over its
 prefixes gives; a character that no piece has is spelt by its byte pieces. A text's log
 probability is the sum over its words, and the language with the highest is predicted, the
@@ -37,6 +37,8 @@ from keystrata.llm.common import Cut, pieces, read
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 300
 ROUNDS = 1
+#: Up to so many sampled ids are broadcast; with more languages they are joined by a shuffle.
+BROADCAST_IDS = 100_000
 #: Added to every piece's count.
 SMOOTH = 0.05
 #: Prefixes that a worker remembers; twice as many are held.
@@ -45,6 +47,7 @@ LONG = 24
 UNKNOWN = "und"
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
+RUN = re.compile(r"[^\W\d_]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -77,7 +80,8 @@ def alphabet(path: str) -> tuple[dict[str, int], list[int]]:
 
 
 def words(text: str) -> list[str]:
-    return text.lower().split()
+    """The runs of letters, in lower case."""
+    return RUN.findall(text.lower())
 
 
 class Scorer:
@@ -97,6 +101,7 @@ class Scorer:
         self.prefix: dict[str, tuple[float, ...]] = {}
         self.old: dict[str, tuple[float, ...]] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pack = struct.Struct(f"<{self.width}d").pack
 
     def spelt(self, c: str) -> tuple[float, ...]:
@@ -149,22 +154,25 @@ class Scorer:
         return [math.log(a) + s for a, s in zip(alpha[-1], shift, strict=True)]
 
     def logs(self, w: str) -> bytes:
-        got = self.known.get(w)
+        got = self.before.get(w)
         if got is None:
             marked = MARK + w
             f = self.forward(marked) if len(marked) <= LONG else (0.0,)
             got = self.pack(*(map(math.log, f) if min(f) > 1e-250 else self.chain(marked)))
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            if len(w) <= LONG:
-                self.known[w] = got
+        if len(self.known) >= MEMO:
+            self.before, self.known = self.known, {}
+        if len(w) <= LONG:
+            self.known[w] = got
         return got
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0
-        get, make = self.known.get, self.logs
-        total = np.frombuffer(b"".join([get(w) or make(w) for w in words(text)]), "<f8").reshape(-1, self.width).sum(0)
+        found = words(text)
+        if not found:
+            return UNKNOWN, 0.0
+        make = self.logs
+        total = np.frombuffer(b"".join([self.known.get(w) or make(w) for w in found]), "<f8").reshape(-1, self.width).sum(0)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -225,6 +233,7 @@ def learn(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> dic
     ids = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = ids.withColumn("_n", rank).filter(F.col("_n") <= SAMPLE).select("doc_id", "lang").distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     sample = Cut(docs.sparkSession)(docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text"))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
