@@ -157,7 +157,8 @@ def edits(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(shuffle_partitions(docs), input_bytes(docs) // PART_BYTES)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    ranged = d.repartitionByRange(int(n), F.col("doc_id").desc_nulls_last(), F.col("text").asc())
+    # by the id alone: the sample that sets the ranges goes to the driver, and is to hold no texts
+    ranged = d.repartitionByRange(int(n), F.col("doc_id").desc_nulls_last())
     inside = ranged.sortWithinPartitions(*order).mapInArrow(_inside, RESULT)
     ends = ranged.mapInArrow(_ends, "head_id bigint, head string, tail_id bigint, tail string")
     w = Window.orderBy(F.col("head_id").desc_nulls_last(), F.col("head").asc(), F.col("tail_id").desc_nulls_last(), F.col("tail").asc())
