@@ -288,3 +288,25 @@ def test_crowded_near_groups(spark):
     rows += [(1000 + i, " ".join(str(r.randrange(10**6)) for _ in range(100))) for i in range(20)]
     got = near.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert all(r.component_id == (0 if r.doc_id < 1000 else r.doc_id) for r in got)
+
+
+def test_crowded_values_lose_no_pair(spark):
+    import random
+
+    r = random.Random(3)
+    rows, want = [], set()
+    for k in range(150):
+        one = [7, *[r.randrange(1 << 20) for _ in range(15)]]
+        # two bits apart in each segment but the crowded one, there in one bit or none
+        two = [7 | 8 * (k % 2), *[x ^ sum(1 << b for b in r.sample(range(20), 2)) for x in one[1:]]]
+        rows += [(2 * k, one), (2 * k + 1, two)]
+        want.add((2 * k, 2 * k + 1))
+    got = {(x.a, x.b) for x in near.candidates(spark.createDataFrame(rows, "node bigint, segs array<int>")).collect()}
+    assert want <= got
+
+
+def test_segments_grow_with_the_corpus():
+    assert near.shape(0) == near.shape(200_000) == (16, 20) and near.shape(200_000).radius == 57
+    p = 0.85**26 + 26 * 0.15 * 0.85**25
+    assert near.shape(12_000_000).width == 26 and 1 - (1 - p) ** near.shape(12_000_000).segments >= 0.95
+    assert all(0 <= x < 1 << 26 for x in near.fingerprint(b"one two three four five six", near.shape(12_000_000)))
