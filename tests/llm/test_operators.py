@@ -310,3 +310,20 @@ def test_segments_grow_with_the_corpus():
     p = 0.85**26 + 26 * 0.15 * 0.85**25
     assert near.shape(12_000_000).width == 26 and 1 - (1 - p) ** near.shape(12_000_000).segments >= 0.95
     assert all(0 <= x < 1 << 26 for x in near.fingerprint(b"one two three four five six", near.shape(12_000_000)))
+
+
+def test_near_duplicates_go_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [
+        (1, text(1), "a"), (None, text(1), "b"),  # a null id is a copy of another
+        (None, text(2), "a"), (None, text(3), "a"),  # clean ones without an id
+        (2, text(4), "a"), (2, text(1), "a"),  # two texts under one id, the second a copy
+        (3, text(5), "a"), (3, text(5), "a"), (3, text(5), "b"),  # equal rows, and one that differs elsewhere
+        (None, text(6), "a"), (None, text(6), "a"), (None, text(6), "a"),  # copies without an id only
+        (4, None, "a"), (5, "", "a"), (None, " ", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    out = near.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, text(5)), (None, text(6)), (4, None)], key=str)
