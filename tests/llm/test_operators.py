@@ -306,10 +306,10 @@ def test_crowded_values_lose_no_pair(spark):
 
 
 def test_segments_grow_with_the_corpus():
-    assert near.shape(0) == near.shape(200_000) == (16, 20) and near.shape(200_000).radius == 57
+    assert near.shape(0) == near.shape(200_000) == (16, 20)
     p = 0.85**26 + 26 * 0.15 * 0.85**25
     assert near.shape(12_000_000).width == 26 and 1 - (1 - p) ** near.shape(12_000_000).segments >= 0.95
-    assert all(0 <= x < 1 << 26 for x in near.fingerprint(b"one two three four five six", near.shape(12_000_000)))
+    assert all(0 <= x < 1 << 26 for x in near.fingerprint(near.shingles(b"one two three four five six"), near.shape(12_000_000)))
 
 
 def test_near_duplicates_go_by_row(spark):
@@ -327,3 +327,27 @@ def test_near_duplicates_go_by_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, text(5)), (None, text(6)), (4, None)], key=str)
+
+
+def test_near_links_are_similar(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    words = lambda n: [str(r.randrange(10**6)) for _ in range(n)]
+    docs = []
+    for k in range(60):
+        base = words(200)
+        # a replaced end of c words of 200: similarity (196 - c) / (196 + c)
+        docs += [(10 * k, base), (10 * k + 1, base[: 200 - 8] + words(8)), (10 * k + 2, base[: 200 - 28] + words(28)), (10 * k + 3, base[: 200 - 50] + words(50))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in docs}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in range(i - i % 10, i):
+            if j in sets and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                want = {x: want[j] if y == want[i] else y for x, y in want.items()}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in near.groups(d).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    monkeypatch.setattr(near, "MANY", 0)
+    assert {x.doc_id: x.component_id for x in near.groups(d).collect()} == got
