@@ -5,9 +5,11 @@ are merged by rank. What lies more than `lookahead` bytes to the right of a toke
 change it. That bound follows from the merge list: a merge at a token's end is lost only to
 a stronger merge that takes its right part away, and that one only to a still stronger one,
 so the longest chain of ever stronger merges, in bytes, suffices (`Vocabulary.lookahead`).
-`Encoder.feed` therefore emits the tokens that end that far before the end of what it has
-seen and keeps no more than a window, however long a word is. Words without a memo entry
-are merged once and remembered, in a memo of bounded size.
+Every text goes through a `Transducer`, CHUNK characters at a time: it emits the tokens of
+words that surely ended, and within a word with no end in sight those that end that far
+before what it has seen, so it holds a chunk and a window of bytes however long a text or a
+word is. The words of a piece of input that no memo entry covers are merged together; the
+memo keeps those that came more than once and is bounded by its bytes.
 
 Decoding. Token bytes go through an incremental UTF-8 machine that holds the one to three
 bytes of an unfinished character; bytes that are no UTF-8 become U+FFFD.
@@ -21,16 +23,20 @@ replaced by it.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +44,13 @@ from pyspark.sql import types as T
 from keystrata.llm.common import pieces, read, sha256
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of each memo of a Python worker; a full memo is emptied.
-MEMO = 300_000
-#: Characters that are cut at once from a long text.
+#: Bytes of a Python worker's memo, as estimated; a full one is emptied.
+MEMO_BYTES = 16 << 20
+#: What an entry takes besides its letters and ids.
+ENTRY_BYTES = 200
+#: Bytes of text whose words are merged together.
+PIECE = 2 << 20
+#: Characters, or tokens, that go through a machine at once.
 CHUNK = 1 << 16
 #: Bytes of a word above which it goes through the windowed merge.
 LONG = 512
@@ -61,24 +71,29 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _ranges(major: str) -> str:
-    out, start, last = [], None, None
-    for c in range(0x110000):
-        if unicodedata.category(chr(c))[0] == major:
-            if start is None:
-                start = c
-            last = c
-        elif start is not None:
-            out.append((start, last))
-            start = None
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" if a != b else f"\\U{a:08x}" for a, b in out)
+#: Letters and numbers of Unicode 16, which the vocabulary's library goes by, that Python's own
+#: tables may not have yet.
+NEWER = {
+    "L": ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
 
 
-def _word_patterns() -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
-    letter, number = _ranges("L"), _ranges("N")
-    word = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    # a space with a visible character after it always begins a word
-    return word, re.compile(rf" (?=[^{SPACE}])"), re.compile(rf" [{SPACE}]| \Z")
+@cache
+def classes() -> tuple[str, str]:
+    """Letters and numbers as ranges of a pattern; worked out once and sent to the workers."""
+    out = []
+    for major in "LN":
+        newer = {c for a, b in NEWER[major] for c in range(a, b + 1)}
+        ranges: list[list[int]] = []
+        for c in range(0x110000):
+            if unicodedata.category(chr(c))[0] == major or c in newer:
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1][1] = c
+                else:
+                    ranges.append([c, c])
+        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges))
+    return out[0], out[1]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -284,67 +299,44 @@ class WordMerger:
         return out
 
 
-class _Memo(dict):
-    """Two generations of entries: a full one becomes the old one, out of which what is
-    still used moves over."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-            if len(key) > 64:
-                return out
-        self.add(key, out)
-        return out
-
-    def add(self, key: str, value: bytes) -> None:
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-    def unknown(self, keys: set[str]) -> list[str]:
-        return [k for k in keys if len(k) <= 64 and k not in self and k not in self.old]
-
-
 class Encoder:
-    """Text to ids (as little-endian 32-bit words)."""
+    """What the transducers of a worker share: patterns, the vocabulary and the memo."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, kinds: tuple[str, str] | None = None):
         self.v = vocabulary
-        self.word, self.cut, self.odd = _word_patterns()
-        self.words = _Memo(self._word)
-        self.spaced = _Memo(lambda rest: b"".join(map(self.words.__getitem__, self.word.findall(" " + rest))))
+        letter, number = kinds or classes()
+        self.word = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        #: Characters that go on in a word of their kind.
+        self.kinds = [re.compile(f"[{x}]*") for x in (letter, number, f"^{SPACE}{letter}{number}")]
+        # a space with a visible character after it always begins a word
+        self.cut, self.odd = re.compile(rf" (?=[^{SPACE}])"), re.compile(rf" [{SPACE}]| \Z")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-
-    def _word(self, word: str) -> bytes:
-        data = word.encode()
-        if len(data) <= LONG:
-            return array("i", self.v.merge(data)).tobytes()
-        m = WordMerger(self.v)
-        return array("i", m.feed(data) + m.finish()).tobytes()
+        self.memo = _Memo(self)
 
     def encode(self, text: str) -> bytes:
-        if self.specials is None or not any(s in text for s in self.v.special):
-            return self._plain(text)
-        return b"".join(array("i", [self.v.special[p]]).tobytes() if p in self.v.special else self._plain(p) for p in self.specials.split(text))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """encode() of each text; their unknown words are merged together."""
-        self.learn([t for t in texts if len(t) <= CHUNK])
-        return [self.encode(t) for t in texts]
-
-    def learn(self, texts: list[str]) -> None:
-        parts: set[str] = set()
+        """Ids of a whole text, as little-endian 32-bit words."""
+        t = Transducer(self)
+        out = [t.feed(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)]
+        return b"".join([*out, t.finish()])
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """encode() of each text; their unknown words are merged together before."""
+        once = self.learn(texts)
         for t in texts:
-            parts.update(self._parts(t)[1:])
-        new = self.spaced.unknown(parts)
+            yield self.encode(t)
+        for k in once:
+            self.memo.pop(k, None)
+        self.memo.bound()
+
+    def learn(self, texts: list[str]) -> list[str]:
+        """Merge the words of the texts; those that came once only are returned."""
+        seen: Counter[str] = Counter()
+        for t in texts:
+            for at in range(0, len(t), CHUNK):
+                seen.update(self.parts(t[at : at + CHUNK])[1:])
+        new = [k for k in seen if k not in self.memo and len(k) <= 64]
         if not new:
-            return
+            return []
         found: list[list[str]] = []
         for w in self.word.findall(" " + " ".join(new)):
             if w[0] == " " and len(w) > 1 and w[1] not in WHITE:
@@ -353,95 +345,125 @@ class Encoder:
                 found[-1].append(w)
         if len(found) != len(new):  # no part would be one of its own, so this can't be
             raise AssertionError("word parts")
-        words = self.words.unknown({w for f in found for w in f})
-        for w, ids in zip(words, self.v.merge_many([w.encode() for w in words]), strict=True):
-            self.words.add(w, ids)
+        words = list({w for f in found for w in f})
+        ids = dict(zip(words, self.v.merge_many([w.encode() for w in words]), strict=True))
         for k, f in zip(new, found, strict=True):
-            self.spaced.add(k, b"".join(map(self.words.__getitem__, f)))
-
-    def _plain(self, text: str) -> bytes:
-        """A text is worked off in chunks that end where a word surely ends."""
-        if len(text) <= CHUNK:
-            return self._chunk(text)
-        out, start = [], 0
-        while start < len(text):
-            end = start + CHUNK
-            if end < len(text):
-                m = self.cut.search(text, end)
-                end = m.start() if m else len(text)
-            out.append(self._chunk(text[start:end]))
-            start = end
-        return b"".join(out)
+            self.memo[k] = b"".join([ids[w] for w in f])
+        return [k for k in new if seen[k] == 1]
 
-    def _parts(self, text: str) -> list[str]:
+    def merged(self, word: str) -> bytes:
+        data = word.encode()
+        if len(data) <= LONG:
+            return array("i", self.v.merge(data)).tobytes()
+        m = WordMerger(self.v)
+        return array("i", m.feed(data) + m.finish()).tobytes()
+
+    def parts(self, text: str) -> list[str]:
         return self.cut.split(text) if self.odd.search(text) else text.split(" ")
 
-    def _chunk(self, text: str) -> bytes:
-        """All but the first part had a space before them, which begins their first word."""
-        parts = self._parts(text)
-        return self._all(parts[0]) + b"".join(map(self.spaced.__getitem__, parts[1:]))
-
-    def _all(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.word.findall(text)))
-
-    def feed(self, chunks: Iterator[str]) -> Iterator[bytes]:
-        """Ids of a text that comes in chunks. Held at any time: a chunk, the run of
-        characters since the last sure word end, and of a word with no end in sight only
-        the window of its merge."""
-        held, open_word, kind = "", None, None
-        for chunk in chunks:
-            held += chunk
-            while True:
-                if open_word is not None:
-                    run = kind.match(held).end()
-                    if run < len(held) - 1:  # the word ends here
-                        yield array("i", open_word.feed(held[:run].encode()) + open_word.finish()).tobytes()
-                        held, open_word = held[run:], None
-                        continue
-                    keep = max(0, run - 1)
-                    yield array("i", open_word.feed(held[:keep].encode())).tobytes()
-                    held = held[keep:]
-                    break
-                sure = None
-                for m in self.cut.finditer(held, 1):
-                    sure = m.start()
-                if sure:
-                    yield self._all(held[:sure])
-                    held = held[sure:]
-                if len(held) <= CHUNK:
-                    break
-                done, last = 0, None
-                for m in self.word.finditer(held):  # no sure end in a chunk: end words one by one
-                    if m.end() + 3 > len(held):
-                        last = m
-                        break
-                    yield self.words[m.group()]
-                    done = m.end()
-                held = held[done:]
-                if last is None or len(held) <= LONG:
-                    break
-                kind = self._kind(held)
-                if kind is None:
+    def words(self, text: str) -> bytes:
+        """Ids of characters that end where a word does. All parts but the first had a space
+        before them, which begins their first word."""
+        parts = self.parts(text)
+        first = b"".join(map(self.merged, self.word.findall(parts[0])))
+        return first + b"".join(map(self.memo.__getitem__, parts[1:]))
+
+
+class _Memo(dict):
+    """Ids of what follows a space up to the next one. Others are worked out, not kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        return b"".join(map(self.encoder.merged, self.encoder.word.findall(" " + part)))
+
+    def bound(self) -> None:
+        if len(self) * ENTRY_BYTES > MEMO_BYTES:
+            self.clear()
+
+
+class Transducer:
+    """The encoder of one text that comes in chunks. Held at any time: a chunk, the
+    characters since the last sure word end, and of a word with no end in sight only the
+    window of its merge."""
+
+    def __init__(self, encoder: Encoder):
+        self.e, self.held, self.open, self.kind = encoder, "", None, None
+        #: The longest end of the text so far that may begin a special token.
+        self.tail = ""
+        self.longest = max(map(len, encoder.v.special), default=0)
+
+    def feed(self, chunk: str) -> bytes:
+        """The ids that are certain by now and have not been given yet."""
+        if not self.longest:
+            return self._plain(chunk)
+        chunk, out = self.tail + chunk, []
+        parts = self.e.specials.split(chunk)
+        for plain, special in zip(parts[::2], parts[1::2], strict=False):
+            out += [self._plain(plain), self._end(), array("i", [self.e.v.special[special]]).tobytes()]
+        rest = parts[-1]
+        keep = next((k for k in range(min(len(rest), self.longest - 1), 0, -1) if any(s.startswith(rest[-k:]) for s in self.e.v.special)), 0)
+        self.tail = rest[len(rest) - keep :]
+        return b"".join([*out, self._plain(rest[: len(rest) - keep])])
+
+    def finish(self) -> bytes:
+        rest, self.tail = self.tail, ""
+        return self._plain(rest) + self._end()
+
+    def _plain(self, chunk: str) -> bytes:
+        e, out = self.e, []
+        held = self.held + chunk
+        while True:
+            if self.open is not None:
+                run = self.kind.match(held).end()
+                if run < len(held) - 1:  # the word ends here
+                    out.append(array("i", self.open.feed(held[:run].encode()) + self.open.finish()).tobytes())
+                    held, self.open = held[run:], None
+                    continue
+                keep = max(0, run - 1)
+                out.append(array("i", self.open.feed(held[:keep].encode())).tobytes())
+                held = held[keep:]
+                break
+            sure = held.rfind(" ")
+            while sure > 0 and (sure + 1 == len(held) or held[sure + 1] in WHITE):
+                sure = held.rfind(" ", 0, sure)
+            if sure > 0:
+                out.append(e.words(held[:sure]))
+                held = held[sure:]
+            if len(held) <= CHUNK:
+                break
+            done, last = 0, None
+            for m in e.word.finditer(held):  # no sure end in a chunk: end words one by one
+                if m.end() + 3 > len(held):
+                    last = m
                     break
-                open_word = WordMerger(self.v)
-                head = 1 if held[0] == " " and kind.match(held[1:2]) and not re.match(rf"[{SPACE}]", held[1:2]) else 0
-                if head:
-                    yield array("i", open_word.feed(b" ")).tobytes()
-                    held = held[1:]
-        if open_word is not None:
-            run = kind.match(held).end()
-            yield array("i", open_word.feed(held[:run].encode()) + open_word.finish()).tobytes()
-            held = held[run:]
-        yield self._all(held)
-
-    def _kind(self, held: str) -> re.Pattern[str] | None:
-        """The class of characters that goes on in a word with no end in sight; none for a
-        run of spaces, which is short of a word until it ends."""
-        if not hasattr(self, "kinds"):
-            letter, number = _ranges("L"), _ranges("N")
-            self.kinds = [re.compile(f"[{x}]*") for x in (letter, number, f"^{SPACE}{letter}{number}")]
-        probe = held[1] if held[0] == " " else held[0]
-        return next((k for k in self.kinds if k.match(probe).end()), None)
+                out.append(e.merged(m.group()))
+                done = m.end()
+            held = held[done:]
+            if last is None or len(held) <= LONG:
+                break
+            probe = held[1] if held[0] == " " else held[0]
+            # a run of spaces is short of a word until it ends
+            self.kind = next((k for k in e.kinds if k.match(probe).end()), None)
+            if self.kind is None:
+                break
+            self.open = WordMerger(e.v)
+            if held[0] == " ":
+                out.append(array("i", self.open.feed(b" ")).tobytes())
+                held = held[1:]
+        self.held = held
+        return b"".join(out)
+
+    def _end(self) -> bytes:
+        held, out = self.held, []
+        if self.open is not None:
+            run = self.kind.match(held).end()
+            out.append(array("i", self.open.feed(held[:run].encode()) + self.open.finish()).tobytes())
+            held, self.open = held[run:], None
+        self.held = ""
+        return b"".join([*out, self.e.words(held)])
 
 
 class TextMachine:
@@ -463,57 +485,109 @@ class TextMachine:
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kinds: tuple[str, str] | None = None) -> Encoder:
     """The worker's encoder for a vocabulary, with its memo."""
     if path not in _loaded:
-        _loaded[path] = Encoder(Vocabulary(path))
+        _loaded[path] = Encoder(Vocabulary(path), kinds)
     return _loaded[path]
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """The columns `keep` (default: all) and `ids`, array<int>."""
-    path = path or vocabulary_path()
-    kept = [c for c in (df.columns if keep is None else keep) if c != ids]
+def _tokens(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i4")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+
+
+def _mapped(df: DataFrame, column: str, keep: list[str], made: list[T.StructField], of_piece: Callable[[pa.Array], Iterator[list[pa.Array]]], cut: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The columns `keep` and those that of_piece makes from each piece of a column."""
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
         for whole in batches:
-            for b in pieces(whole, "_text"):
-                blobs = e.encode_all(["" if t is None else t for t in b.column("_text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(kept))], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*[f"k{i}" for i in range(len(kept))], "ids"])
+            for b in cut(whole):
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], *of_piece(b.column(n))], names=[*[f"k{i}" for i in range(n)], *[f"m{i}" for i in range(len(made))]])
+
+    given = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("_in"))
+    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)], *[T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made)]])
+    return given.mapInArrow(run, schema).toDF(*keep, *[f.name for f in made])
+
+
+def _text_pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return pieces(b, "_in", PIECE)
 
-    given = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(kept)], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return given.mapInArrow(run, schema).toDF(*kept, ids)
+
+def _list_pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cut by the number of ids, of which each is a few bytes of text."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(b.column("_in")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // (PIECE // 4))) + 1
+    start = 0
+    for end in [*edges.tolist(), b.num_rows]:
+        if end > start:
+            yield b.slice(start, end - start)
+        start = end
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return ["" if t is None else t for t in column.to_pylist()]
+
+
+def _decoded(machine: TextMachine, ids: np.ndarray) -> Iterator[str]:
+    for at in range(0, len(ids), CHUNK):
+        yield machine.feed(ids[at : at + CHUNK].tolist())
+    yield machine.finish()
+
+
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """The columns `keep` (default: all) and `ids`, array<int>."""
+    path, kinds = path or vocabulary_path(), classes()
+
+    def of_piece(column: pa.Array) -> list[pa.Array]:
+        return [_lists([_tokens(x) for x in encoder(path, kinds).encode_all(_strings(column))])]
+
+    return _mapped(df, text, [c for c in (df.columns if keep is None else keep) if c != ids], [T.StructField(ids, IDS.dataType)], of_piece, _text_pieces)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The columns `keep` (default: all) and `text`."""
-    path = path or vocabulary_path()
-    kept = [c for c in (df.columns if keep is None else keep) if c != text]
+    path, kinds = path or vocabulary_path(), classes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = TextMachine(encoder(path).v)
-        for b in batches:
-            out = []
-            for x in b.column("_ids"):
-                v = [] if x.values is None else x.values.to_numpy()
-                parts = [machine.feed(v[at : at + CHUNK].tolist()) for at in range(0, len(v), CHUNK)]
-                out.append("".join([*parts, machine.finish()]))
-            yield pa.RecordBatch.from_arrays([*[b.column(f"k{i}") for i in range(len(kept))], pa.array(out, pa.string())], names=[*[f"k{i}" for i in range(len(kept))], "text"])
+    def of_piece(column: pa.Array) -> list[pa.Array]:
+        machine = TextMachine(encoder(path, kinds).v)
+        return [pa.array(["" if x.values is None else "".join(_decoded(machine, x.values.to_numpy())) for x in column], pa.string())]
+
+    return _mapped(df, ids, [c for c in (df.columns if keep is None else keep) if c != text], [T.StructField(text, T.StringType())], of_piece, _list_pieces)
+
+
+def round_trip(df: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """The columns `keep` (default: all), `ids` and `decoded_sha256`, the digest of what the
+    ids decode to: encode() and decode() of a document in one step, so that its ids need
+    not go to another worker and its decoded text is never there as a whole."""
+    path, kinds = path or vocabulary_path(), classes()
+
+    def of_piece(column: pa.Array) -> list[pa.Array]:
+        e = encoder(path, kinds)
+        machine, arrays, digests = TextMachine(e.v), [], []
+        for blob in e.encode_all(_strings(column)):
+            arrays.append(_tokens(blob))
+            digest = hashlib.sha256()
+            for t in _decoded(machine, arrays[-1]):
+                digest.update(t.encode())
+            digests.append(digest.hexdigest())
+        return [_lists(arrays), pa.array(digests, pa.string())]
 
-    given = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{ids}`").alias("_ids"))
-    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(kept)], T.StructField("text", T.StringType())])
-    return given.mapInArrow(run, schema).toDF(*kept, text)
+    return _mapped(df, text, [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded_sha256")], [IDS, T.StructField("decoded_sha256", T.StringType())], of_piece, _text_pieces)
 
 
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode(documents.select("doc_id", "text"), keep=["doc_id"], path=path)
-    said = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), "ids")
-    return decode(said, keep=["doc_id", "n_tokens", "ids_sha256"], path=path).select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"))
+    done = round_trip(documents.select("doc_id", "text"), keep=["doc_id"], path=path)
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), "decoded_sha256")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

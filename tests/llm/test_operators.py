@@ -42,17 +42,48 @@ def test_bpe_is_the_library(spark, small, rows):
 
 
 def test_bpe_stream_needs_no_more_than_its_lookahead(texts):
-    e = bpe.encoder(bpe.vocabulary_path())
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(bpe.vocabulary_path()), bpe.encoder(bpe.vocabulary_path())
     assert 0 < e.v.lookahead < 1000
-    for t in [*filter(None, texts), "ab" * 40_000, " " * 70_000 + "x", "=-" * 40_000]:
-        if "<|" in t:
-            continue
-        whole = np.frombuffer(e.encode(t), "<i4").tolist()
-        for n in (1, 7, 5000) if len(t) < 3000 else (5000,):
-            assert [x for y in e.feed(t[i : i + n] for i in range(0, len(t), n)) for x in np.frombuffer(y, "<i4").tolist()] == whole
+    for x in [*filter(None, texts), "ab" * 40_000, " " * 70_000 + "x", "=-" * 40_000]:
+        want = t.encode(x, add_special_tokens=False).ids
+        for n in (1, 7, 5000) if len(x) < 3000 else (5000,):
+            m = bpe.Transducer(e)
+            got = b"".join([*[m.feed(x[i : i + n]) for i in range(0, len(x), n)], m.finish()])
+            assert np.frombuffer(got, "<i4").tolist() == want
     word = b"etaoinshrdlu" * 3000
     m = bpe.WordMerger(e.v)
-    assert [x for i in range(0, len(word), 1000) for x in m.feed(word[i : i + 1000])] + m.finish() == e.v.merge(word)
+    held = 0
+    out = []
+    for i in range(0, len(word), 1000):
+        out += m.feed(word[i : i + 1000])
+        held = max(held, len(m.held))
+    assert out + m.finish() == e.v.merge(word) and held <= 2 * m.window
+
+
+def test_bpe_on_random_strings():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(bpe.vocabulary_path()), bpe.encoder(bpe.vocabulary_path()), random.Random(1)
+    # letters and numbers that only newer tables know among them
+    letters = ["\ua7cb", "\U000105c0", "\U00010d40", "\U0001e5f1", "'", "s", "ll", "a", " ", "  ", "\n", "\xa0", "9", "é", "中", "!", "🙂", "<|endoftext|>", "<|endo", "\u0558", "\x1c"]
+    for _ in range(5000):
+        x, n = "".join(r.choice(letters) for _ in range(r.randint(1, 14))), r.randint(1, 4)
+        want, m = t.encode(x, add_special_tokens=False).ids, bpe.Transducer(e)
+        assert np.frombuffer(e.encode(x), "<i4").tolist() == want, x
+        assert np.frombuffer(b"".join([*[m.feed(x[i : i + n]) for i in range(0, len(x), n)], m.finish()]), "<i4").tolist() == want, x
+
+
+def test_bpe_columns_and_memo(spark, texts, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 0)
+    d = spark.createDataFrame([(i, x, "kept", "gone") for i, x in enumerate(texts)], "doc_id bigint, text string, _in string, ids string")
+    out = bpe.decode(bpe.encode(d)).collect()
+    assert [(r.text or "") == r.decoded and r._in == "kept" for r in out] == [True] * len(texts)
+    both = {r.doc_id: r for r in bpe.round_trip(d).collect()}
+    assert all(both[r.doc_id].ids == r.ids and both[r.doc_id].decoded_sha256 == sha(r.decoded.encode()) for r in out)
 
 
 def test_text_machine_on_broken_bytes():
