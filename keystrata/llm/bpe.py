@@ -45,11 +45,11 @@ from keystrata.llm.common import pieces, read, sha256
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a Python worker's memo, as estimated; a full one is emptied.
-MEMO_BYTES = 16 << 20
+MEMO_BYTES = 32 << 20
 #: What an entry takes besides its letters and ids.
 ENTRY_BYTES = 200
 #: Bytes of text whose words are merged together.
-PIECE = 2 << 20
+PIECE = 4 << 20
 #: Characters, or tokens, that go through a machine at once.
 CHUNK = 1 << 16
 #: Bytes of a word above which it goes through the windowed merge.
