@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker works on at once; one longer text is its own piece.
 PIECE_BYTES = 4 << 20
@@ -59,29 +61,88 @@ def sha256(column: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; where it names none, as
-    in tests, a folder of this machine."""
+    """The folder that all executors share, as the cluster names it. Only a local session,
+    as in tests, may name none and gets a folder of this machine."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/keystrata-checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.gettempdir() + "/keystrata-checkpoints"
 
 
 class Cut:
     """Tables that cut a lineage: each is written to the shared folder and read again, and
-    the one before it goes once the next is there."""
+    the one before it goes once the next is there. The last one, which results may still
+    read, goes with the session."""
 
     def __init__(self, spark: SparkSession):
         import uuid
 
         self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+        path, files = self._path(self.at)
+        files.deleteOnExit(path)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
         df.write.parquet(path)
-        self._drop(f"{self.at}/{self.n - 1}")
-        return self.spark.read.parquet(path)
-
-    def _drop(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        path_before, files = self._path(f"{self.at}/{self.n - 1}")
+        files.delete(path_before, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like this one that is not in use."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hashable(schema: T.StructType) -> list[str]:
+    """The columns that can be hashed and grouped by: not maps and variants."""
+    return [f.name for f in schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
+#: Equal rows that are more than so many are counted before they move.
+COPIES = 256
+#: Of hot rows so many keys are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+#: Copies that are made from one array.
+RUN = 4096
+
+
+def condensed(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """docs with `copies`: of rows that are equal in all columns and more than `most`, two
+    stay, which stand for all of them. Two, so that what is in one is still there twice.
+
+    Only eight bytes of a row move to find such rows. With a column that can't be compared,
+    nothing is condensed.
+    """
+    most = COPIES if most is None else most
+    if hashable(docs.schema) != docs.columns:
+        return docs.withColumn("copies", F.lit(1).cast("bigint"))
+    key = F.xxhash64(*docs.columns)
+    hot = docs.select(key.alias("hot")).groupBy("hot").count().filter(F.col("count") > most).select("hot")
+    hot = Cut(docs.sparkSession)(hot)
+    n = hot.count()
+    if not n:
+        return docs.withColumn("copies", F.lit(1).cast("bigint"))
+    near = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    keyed = docs.withColumn("hot", key)
+    many = keyed.join(near, "hot", "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("n"))
+    two = many.select(*docs.columns, F.explode(F.expr("filter(array(n - n div 2, n div 2), x -> x > 0)")).alias("copies"))
+    return keyed.join(near, "hot", "left_anti").select(*docs.columns, F.lit(1).cast("bigint").alias("copies")).unionByName(two)
+
+
+def expanded(df: DataFrame) -> DataFrame:
+    """Each row `copies` times, without that column."""
+    runs = df.withColumn("copies", F.explode(F.expr(f"CASE WHEN copies = 1 THEN array(1L) ELSE transform(sequence(0L, (copies - 1) div {RUN}), i -> least(copies - i * {RUN}, {RUN}L)) END")))
+    return runs.withColumn("copies", F.explode(F.expr("CASE WHEN copies = 1 THEN array(1L) ELSE sequence(1L, copies) END"))).drop("copies")

@@ -1,40 +1,49 @@
 """Exact removal of repeated passages, found by Rabin-Karp hashes of word windows.
 
-Documents are spread over chunks of a few MB by a hash of id and text. A chunk hashes every
-window of its documents (a polynomial in the words' XXH64, by running sums), and asks about
-each of its hashes once, twice if it has it twice itself: so a passage in a third of all
-documents is one entry of a chunk, however often it occurs. Asks go to a bucket by hash, as
-packed arrays of eight bytes a hash; a bucket sorts its hashes and sends those that it has
-twice back to the chunks they came from. The chunk meets its replies in a co-group over the
-same exchange, so texts move once, and merges its repeated windows into maximal intervals.
-Nothing is counted over a sample, and no group is larger than a chunk or a bucket; both get
-more numerous with the input. A chunk's rows depend on content only, so a part that is
-computed again after an executor is lost is the same part.
-
-Hashes have 64 bits: with 1e8 windows the chance that any two different ones agree is 3e-4.
+Documents are spread over chunks of a few MB by a hash of their row. A chunk hashes every
+window of its documents (a polynomial in the words' 128-bit hashes, by running sums) and
+asks about each, twice if it has it twice itself: so a passage in a third of all documents
+is one entry of a chunk, however often it occurs. Asks move packed, 32 bits a window that
+with their bucket make up the key, and Spark counts them: exploded within their bucket's
+partition, in groups of equal keys. Keys that are there more than once go back to the chunks
+that asked. What is left, a superset of all repeats, is counted in the same way once more by
+96 bits of the hash, and the windows repeated by these are merged into maximal intervals.
+All steps of a chunk read one exchange, so texts move once.
+
+Nothing is counted over a sample. No group is larger than a chunk: Spark sorts, and spills,
+what it counts. A chunk's rows depend on content only, so a part that is computed again after
+an executor is lost is the same part. Hashes have 96 bits: among 1e13 windows less than a
+thousandth of one agreement of two different ones is to be expected.
 
 Rows: a null or blank text has no words and stays as it is; a text shorter than a window loses
-nothing; equal rows are copies of each other and lose every covered word; null ids are
-ids. An empty table gives an empty one.
+nothing; equal rows are copies of each other and lose every covered word, and where they are
+many they are counted before they move; null ids are ids. An empty table gives an empty one.
+Extra columns stay whatever their names, but one named like the result (`into`), which is
+replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import U64, input_bytes, mix, read, shuffle_partitions, texts
+from keystrata.llm.common import U64, condensed, expanded, hashable, input_bytes, mix, read, shuffle_partitions, texts
 from keystrata.llm.quality import words_of
 
 WINDOW = 35
-#: Input bytes (as stored) of one chunk.
-CHUNK_BYTES = 3 << 20
+#: Input bytes (as stored) of one chunk, in a corpus of up to WIDE bytes; chunks of a larger
+#: one grow with the root of its size, up to MOST_CHUNK_BYTES.
+CHUNK_BYTES, MOST_CHUNK_BYTES, WIDE = 3 << 20, 12 << 20, 16 << 30
+#: Chunks whose asks fill one bucket.
+BUCKET_CHUNKS = 8
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+LOW = U64(0xFFFFFFFF)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -50,19 +59,23 @@ class Words:
         self.lists = [t.split() for t in data]
         self.counts = np.array([len(x) for x in self.lists], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        digest = xxhash.xxh64_digest
-        self.hashes = np.frombuffer(b"".join([digest(w) for x in self.lists for w in x]), ">u8").astype(U64)
+        digest = xxhash.xxh3_128_digest
+        self.hashes = np.frombuffer(b"".join([digest(w) for x in self.lists for w in x]), ">u8").astype(U64).reshape(-1, 2)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, hash) of every window that lies within one text; starts count over all."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, a, b) of every window that lies within one text: 64 and 32 bits of its
+        hash; starts count over all."""
         n = len(self.hashes)
         if n < size:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(self.hashes * powers(BASE, n))])
-        h = mix((sums[size:] - sums[:-size]) * powers(INVERSE, n - size + 1))
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint32)
         ends = np.repeat(self.starts[1:], self.counts)[: n - size + 1]
         at = np.flatnonzero(np.arange(n - size + 1) + size <= ends)
-        return at, h[at]
+        up, down = powers(BASE, n), powers(INVERSE, n - size + 1)
+        out = []
+        for k in range(2):
+            sums = np.concatenate([np.zeros(1, U64), np.cumsum(self.hashes[:, k] * up)])
+            out.append(mix((sums[size:] - sums[:-size]) * down)[at])
+        return at, out[0], (out[1] >> U64(32)).astype(np.uint32)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -73,17 +86,13 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def bucketed(chunk: int, hashes: np.ndarray, n_buckets: int) -> pa.Table:
-    """Rows (bucket, chunk, hashes) of sorted hashes, bucketed by their high bits."""
-    bucket = ((hashes >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    data = hashes.astype("<u8").tobytes()
-    full = np.flatnonzero(np.diff(edges)).tolist()
-    return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "hashes": pa.array([data[8 * edges[i] : 8 * edges[i + 1]] for i in full], pa.binary())})
+def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """By the high bits."""
+    return ((hashes >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
 
 
-ASKS = "bucket int, chunk bigint, hashes binary"
-REPLIES = "chunk bigint, hashes binary"
+def lists(edges: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
 
 
 def twice(hashes: np.ndarray) -> np.ndarray:
@@ -92,48 +101,6 @@ def twice(hashes: np.ndarray) -> np.ndarray:
     return np.repeat(u, np.minimum(n, 2))
 
 
-def answered(asks: DataFrame, n: int) -> DataFrame:
-    """The replies (chunk, hashes): of each asked array, what its bucket has at least twice."""
-
-    def run(batches):
-        arrays, chunks = [], []
-        for b in batches:
-            chunks += b.column("chunk").to_pylist()
-            arrays += [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()]
-        if not arrays:
-            return
-        lengths = np.array([len(a) for a in arrays])
-        h = np.concatenate(arrays)
-        del arrays
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        again = np.zeros(len(s), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        hit = np.zeros(len(h), bool)
-        hit[order[again]] = True
-        ends = np.cumsum(lengths)
-        counts = np.add.reduceat(hit, ends - lengths) if len(lengths) else lengths
-        data, at = h[hit].astype("<u8").tobytes(), 0
-        out_chunk, out_data = [], []
-        for c, k in zip(chunks, counts.tolist(), strict=True):
-            if k:
-                out_chunk.append(c)
-                out_data.append(data[8 * at : 8 * (at + k)])
-                at += k
-        for i in range(0, len(out_chunk), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(out_chunk[i : i + 1000], pa.int64()), pa.array(out_data[i : i + 1000], pa.binary())], names=["chunk", "hashes"])
-
-    return asks.repartition(n, "bucket").mapInArrow(run, REPLIES)
-
-
-def replied(table: pa.Table) -> np.ndarray:
-    """All hashes of a chunk's replies, sorted."""
-    parts = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)
-
-
 def within(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(h), bool)
@@ -141,33 +108,97 @@ def within(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(at, len(sorted_set) - 1)] == h
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """docs with `chunk`, partitioned by it."""
-    n = shuffle_partitions(docs)
-    chunks = max(n, min(1 << 26, input_bytes(docs) // chunk_bytes))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(n, "chunk"), n
+def both_within(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) are among the others."""
+    out = np.zeros(len(a), bool)
+    if not len(in_a):
+        return out
+    order = np.lexsort((in_b, in_a))
+    in_a, in_b = in_a[order], in_b[order]
+    first, last = np.searchsorted(in_a, a, "left"), np.searchsorted(in_a, a, "right")
+    for k in range(int((last - first).max(initial=0))):
+        q = first + k
+        hit = q < last
+        out[hit] |= in_b[q[hit]] == b[hit]
+    return out
+
+
+def chunked(docs: DataFrame, chunk_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """row, the other columns, text, copies and chunk, partitioned by the last; how many
+    partitions, and how many chunks there are."""
+    others = [c for c in docs.columns if c != "text"]
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias(f"_{''.join(others)}")).alias("row"), "text")
+    n, size = shuffle_partitions(docs), input_bytes(docs)
+    chunk_bytes = chunk_bytes or int(min(MOST_CHUNK_BYTES, CHUNK_BYTES * max(1, size / WIDE) ** 0.5))
+    chunks = max(n, min(1 << 26, size // chunk_bytes))
+    keys = [F.col("row")[c] for c in hashable(docs.schema) if c != "text"]
+    spread = condensed(given).withColumn("chunk", F.pmod(F.xxhash64(*keys, "text"), F.lit(chunks)))
+    return spread.repartition(n, "chunk"), n, chunks
+
+
+def restored(df: DataFrame, docs: DataFrame, into: str) -> DataFrame:
+    """The columns of docs out of row and text, and `made` as `into`."""
+    out = expanded(df)
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != into], F.col("made").alias(into))
 
 
-def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def counted(asks: DataFrame, n: int, *hashes: str) -> DataFrame:
+    """Of each asked list, packed again, what its bucket has more than once. The asks'
+    exchange, by bucket, serves the counting and the packing too."""
+    rows = asks.repartition(n, "bucket").select("bucket", "chunk", F.inline(F.arrays_zip(*hashes)))
+    known = rows.withColumn("n", F.count("*").over(Window.partitionBy(*hashes, "bucket"))).filter("n > 1")
+    return known.groupBy("bucket", "chunk").agg(*[F.collect_list(h).alias(h) for h in hashes])
+
+
+def _flat(table: pa.Table, column: str, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy(zero_copy_only=False).view(kind) for c in table.column(column).chunks]])
+
+
+def removed(docs: DataFrame, window: int = WINDOW, into: str = "removal") -> DataFrame:
     """The columns of docs with text replaced by the kept words, joined by a space, where
-    words were removed; with n_words, n_removed and spans, the removed word intervals."""
-    made = ["chunk", "n_words", "n_removed", "spans"]
-    columns = [c for c in docs.columns if c not in made]
-    spread, n = chunked(docs.select(*columns))
+    words were removed; and `into`, a struct of n_words, n_removed and spans, the removed
+    word intervals."""
+    spread, n, chunks = chunked(docs)
+    buckets = max(n, chunks // BUCKET_CHUNKS)
+
+    def key(a: np.ndarray) -> np.ndarray:
+        return bucket_of(a, buckets).astype(U64) << U64(32) | a & LOW
 
     def ask(table: pa.Table) -> pa.Table:
-        _, h = Words(texts(table.column("text"))).windows(window)
-        return bucketed(table.column("chunk")[0].as_py(), twice(h), n)
+        _, a, _ = Words(texts(table.column("text"))).windows(window)
+        a = twice(a)
+        bucket = bucket_of(a, buckets)
+        full, edges = np.unique(bucket, return_index=True)
+        chunk = pa.array(np.full(len(full), table.column("chunk")[0].as_py()), pa.int64())
+        return pa.table({"bucket": pa.array(full, pa.int64()), "chunk": chunk, "a": lists(np.append(edges, len(a)), pa.array((a & LOW).astype(np.uint32).view(np.int32)))})
+
+    def ask_again(table: pa.Table, replies: pa.Table) -> pa.Table:
+        a, b = np.zeros(0, U64), np.zeros(0, np.uint32)
+        if replies.num_rows and table.num_rows:
+            sizes = pa.compute.list_value_length(replies.column("a")).to_numpy()
+            known = np.sort(np.repeat(replies.column("bucket").to_numpy().astype(U64), sizes) << U64(32) | _flat(replies, "a", np.uint32).astype(U64))
+            _, a, b = Words(texts(table.column("text"))).windows(window)
+            hit = within(key(a), known)
+            a, b = a[hit], b[hit]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        # each pair twice at most
+        third = np.zeros(len(a), bool)
+        third[2:] = (a[2:] == a[:-2]) & (b[2:] == b[:-2])
+        a, b = a[~third], b[~third]
+        full, edges = np.unique(bucket_of(a, buckets), return_index=True)
+        ends = np.append(edges, len(a))
+        chunk = pa.array(np.full(len(full), table.column("chunk")[0].as_py() if table.num_rows else 0), pa.int64())
+        return pa.table({"bucket": pa.array(full, pa.int64()), "chunk": chunk, "a": lists(ends, pa.array(a.view(np.int64))), "b": lists(ends, pa.array(b.view(np.int32)))})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         data = texts(table.column("text"))
         w = Words(data)
-        at, h = w.windows(window)
-        gone = covered(len(w.hashes), at[within(h, replied(replies))], window)
+        at, a, b = w.windows(window)
+        gone = covered(len(w.hashes), at[both_within(a, b, _flat(replies, "a", U64), _flat(replies, "b", np.uint32))], window)
         out, n_removed, spans = [], [], []
         for i, t in enumerate(data):
-            a, b = int(w.starts[i]), int(w.starts[i + 1])
-            g = gone[a:b]
+            g = gone[int(w.starts[i]) : int(w.starts[i + 1])]
             k = int(g.sum())
             n_removed.append(k)
             if not k:
@@ -177,19 +208,19 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))).tolist()
             spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
             out.append(b" ".join([x for x, gx in zip(w.lists[i], g.tolist(), strict=True) if not gx]))
-        cols = [pa.array(out, pa.binary()).cast(pa.string()) if c == "text" else table.column(c) for c in columns]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table([*cols, pa.array(w.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=[*columns, "n_words", "n_removed", "spans"])
+        made = pa.StructArray.from_arrays([pa.array(w.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=["n_words", "n_removed", "spans"])
+        return pa.table([table.column("row"), pa.array(out, pa.binary()).cast(pa.string()), table.column("copies"), made], names=["row", "text", "copies", "made"])
 
-    replies = answered(spread.groupBy("chunk").applyInArrow(ask, ASKS), n)
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span))])
-    return spread.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    first = counted(spread.groupBy("chunk").applyInArrow(ask, "bucket bigint, chunk bigint, a array<int>"), n, "a")
+    again = spread.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_again, "bucket bigint, chunk bigint, a array<bigint>, b array<int>")
+    replies = counted(again, n, "a", "b")
+    schema = T.StructType([*[spread.schema[c] for c in ("row", "text", "copies")], *T.StructType.fromDDL("made struct<n_words: bigint, n_removed: bigint, spans: array<struct<start: int, end: int>>>").fields])
+    return restored(spread.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema), docs, into)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = removed(read(spark, sf_dir).select("doc_id", "text"))
+    d = removed(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "removal.*")
     # where nothing goes, the kept words still have single spaces between them
     kept = F.when(F.col("n_words") == F.col("n_removed"), "").otherwise(F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.array_join(words_of("text"), " ")))
     return d.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"), F.to_json("spans").alias("removed"))
-
