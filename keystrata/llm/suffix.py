@@ -1,33 +1,41 @@
-"""Removal of byte strings that a document with a smaller id has too, by suffix arrays.
+"""Removal of byte strings that a document with a smaller id has too, by the tree of common
+prefixes of a suffix array.
 
-`repeat_groups` is the operator on one text or on many laid end to end: it builds a suffix
-array with its common prefixes, scans it with a stack for the intervals of suffixes that
-share a prefix, and puts out those whose left neighbours differ: every maximal repeat with
-all of its occurrences.
+`scan` goes over the common prefixes of suffixes in order, with a stack, and puts out every
+interval of suffixes that share a prefix and whose left neighbours differ: the maximal
+repeats, each with all of its occurrences. `repeat_groups` is the operator on some texts.
 
 Over a table no suffix array of all bytes is built. Suffixes are first brought together by
 content:
 
 1. Every window of 50 bytes has an anchor, the least hash among its 16-byte grams; equal
-   windows have equal anchors. A chunk (a few MB of documents, by a hash of id and text)
-   asks about its anchors, eight bytes each, twice for those of several documents, and gets
-   back those that another document has.
+   windows have equal anchors. A chunk (a few MB of documents, by a hash of the row) asks
+   about its anchors, eight bytes each, twice for those of several documents, and gets back
+   those that another document has.
 2. Stretches of windows with one such anchor are sent, as the bytes that they cover and the
    smallest id that has them in the chunk, to the anchor's bucket.
-3. A bucket lays its distinct stretches end to end, sorts the suffixes by prefix doubling up
-   to the window length, and takes the intervals of suffixes that agree so far: all
-   occurrences of a window. Each gets the smallest id of its interval, which goes back to
-   the chunks where it is smaller than what they said.
+3. A bucket lays its distinct stretches end to end and sorts their suffixes by prefix
+   doubling up to the window length. Suffixes that agree so far are an interval of the tree.
+   One whose left neighbours are all the same byte holds no maximal repeat, nor does any
+   interval inside it, and is left at that; so is one whose stretches all have one smallest
+   id. The others are sorted to the ends of their stretches, and the stack scan over their
+   common prefixes gives the repeat groups. A group's occurrences get the smallest id of the
+   group, over the repeat's whole length; that goes back to the chunks where it is smaller
+   than what they said, and so does a stretch's own smallest id.
 4. A chunk marks the windows of each document for which a smaller id is known.
 
-An anchor that more than HOT asks name (a gram in very many texts) would crowd a bucket: its
-windows are spread by their own hash instead, one by one. The comparison of windows is on
-bytes; the hashes only bring them together, and name a stretch within one chunk.
+Every window of 50 bytes is covered by the maximal repeat that has just its occurrences, so
+groups of 50 bytes or more find all windows and nothing else. An anchor that more than HOT
+asks name (a gram in very many texts) would crowd a bucket: its windows are spread by their
+own hash instead, one by one. The comparison of windows is on bytes; the hashes only bring
+them together, and name a stretch within one chunk.
 
 Rows: a null text is empty, and a text shorter than a window loses nothing; equal ids don't
 remove each other's bytes; a null id counts as larger than all others; the remaining bytes
-may be no UTF-8 when a character is cut, so they are binary. An empty table gives an empty
-one, extra columns stay.
+may be no UTF-8 when a character is cut, so they are binary. Long texts are worked off in
+parts that overlap by a window. Equal rows that are many are counted before they move. An
+empty table gives an empty one, extra columns stay, but one named like the result (`into`),
+which is replaced.
 """
 
 from __future__ import annotations
@@ -42,12 +50,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.llm.common import U64, mix, read, texts
-from keystrata.llm.substring import BASE, INVERSE, bucketed, chunked, powers, twice, within
+from keystrata.llm.substring import BASE, INVERSE, bucket_of, chunked, powers, restored, twice, within
 
 WINDOW = 50
 GRAM = 16
 HOT = 4000
-#: Bytes that are hashed at once; a longer text is its own piece.
+#: Bytes that are hashed at once.
 PIECE = 1 << 20
 #: Windows of one stretch.
 STRETCH = 1000
@@ -89,6 +97,31 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     return lcp
 
 
+def scan(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(length, i, j): suffixes i to j - 1 in order share a prefix of that length, their
+    neighbours share less, and their left neighbours differ. lcp[i] is what suffixes i - 1
+    and i share; left[i] is a byte, or a number over 255 where a text begins."""
+    # an interval: common length, its first place, and its left neighbour, None once two differ
+    stack: list[list] = []
+
+    def join(a, b):
+        return a if a == b and a is not None and a < 256 else None
+
+    n = len(left)
+    for i in range(1, n + 1):
+        h = lcp[i] if i < n else 0
+        low, seen = i - 1, left[i - 1]
+        while stack and stack[-1][0] > h:
+            length, low, inner = stack.pop()
+            seen = join(inner, seen)
+            if length >= least and seen is None:
+                yield length, low, i
+        if stack and stack[-1][0] == h:
+            stack[-1][2] = join(stack[-1][2], seen)
+        elif h > 0:
+            stack.append([h, low, seen])
+
+
 def repeat_groups(parts: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, offset), ...]) of each maximal repeat of `least` bytes or more: the
     occurrences agree over the length and differ, or a text ends, on either side.
@@ -103,29 +136,23 @@ def repeat_groups(parts: list[bytes], least: int = WINDOW) -> Iterator[tuple[int
         return
     data = np.array(flat, np.int64)
     order, rank = suffix_array(data)
-    lcp = common_prefixes(data, order, rank)
-    n = len(data)
-    left = [data[i - 1] if i else -1 for i in range(n)]
-    # an interval: common length, its first place, and its left neighbour, None once two differ
-    stack: list[list] = []
+    left = np.concatenate([[256], data[:-1]])[order].tolist()
+    for length, i, j in scan(common_prefixes(data, order, rank).tolist(), left, least):
+        at = np.sort(order[i:j])
+        text = np.searchsorted(starts, at, side="right") - 1
+        yield length, [(int(t), int(a - starts[t])) for t, a in zip(text, at, strict=True)]
 
-    def join(a, b):
-        return a if a == b and a is not None and a < 256 else None
 
-    for i in range(1, n + 1):
-        h = int(lcp[i]) if i < n else 0
-        low, seen = i - 1, left[order[i - 1]]
-        while stack and stack[-1][0] > h:
-            length, low, inner = stack.pop()
-            seen = join(inner, seen)
-            if length >= least and seen is None:
-                at = np.sort(order[low:i])
-                text = np.searchsorted(starts, at, side="right") - 1
-                yield length, [(int(t), int(a - starts[t])) for t, a in zip(text, at, strict=True)]
-        if stack and stack[-1][0] == h:
-            stack[-1][2] = join(stack[-1][2], seen)
-        elif h > 0:
-            stack.append([h, low, seen])
+def sums_of(data: bytes) -> np.ndarray:
+    """Running sums of a polynomial in the bytes."""
+    symbols = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+    return np.concatenate([np.zeros(1, U64), np.cumsum(symbols[np.frombuffer(data, np.uint8)] * powers(BASE, len(data)))])
+
+
+def named(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from a's window to b's."""
+    end = b + WINDOW
+    return mix((sums[end] - sums[a]) * inverse[a] + (end - a).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Anchored:
@@ -135,10 +162,8 @@ class Anchored:
         self.bytes = b"".join(data)
         self.lengths = np.array([len(t) for t in data], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        a = np.frombuffer(self.bytes, np.uint8)
-        n = len(a)
-        symbols = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(symbols[a] * powers(BASE, n))])
+        n = len(self.bytes)
+        self.sums = sums_of(self.bytes)
         self.inverse = powers(INVERSE, n + 1)
         if n < WINDOW:
             self.at, self.anchor = np.zeros(0, np.int64), np.zeros(0, U64)
@@ -184,25 +209,39 @@ class Anchored:
         return a, b, key
 
     def named(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A hash of the bytes from a's window to b's."""
-        end = b + WINDOW
-        return mix((self.sums[end] - self.sums[a]) * self.inverse[a] + (end - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return named(self.sums, self.inverse, a, b)
 
 
-def groups(data: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of PIECE bytes at most, or one."""
-    start = size = 0
+def parts(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(text, offset, bytes) of texts, some PIECE bytes at a time. A longer text comes in
+    parts that overlap by what a window needs, so each of its windows is in one of them."""
+    which, offset, held, size = [], [], [], 0
     for i, t in enumerate(data):
-        if size and size + len(t) > PIECE:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(data):
-        yield start, len(data)
+        for at in range(0, max(1, len(t) - WINDOW + 1), PIECE):
+            part = t if len(t) <= PIECE else t[at : at + PIECE + WINDOW - 1]
+            if size and size + len(part) > PIECE:
+                yield np.array(which), np.array(offset), held
+                which, offset, held, size = [], [], [], 0
+            which.append(i)
+            offset.append(at)
+            held.append(part)
+            size += len(part)
+            if part is t:
+                break
+    if held:
+        yield np.array(which), np.array(offset), held
+
+
+def common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
-    return pa.compute.fill_null(table.column("doc_id").cast(pa.int64()), LAST_ID).to_numpy()
+    return pa.compute.fill_null(table.column("id"), LAST_ID).to_numpy()
 
 
 ANSWERS = "chunk bigint, hashes binary, hot binary, names binary, first binary, last binary, least binary"
@@ -252,23 +291,62 @@ def gathered(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def window_ranks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, rank) of the windows that lie before their place's end: the order of their
-    first WINDOW bytes, equal for equal windows. Prefix doubling from 8 bytes to 16, to 32
-    and, by an overlap, to the window's length."""
+def ranked(key: np.ndarray) -> np.ndarray:
+    """Each key's rank, equal for equal keys."""
+    order = np.argsort(key)
+    s = key[order]
+    rank = np.empty(len(key), np.uint32)
+    rank[order[:1]] = 0
+    rank[order[1:]] = np.cumsum(s[1:] != s[:-1], dtype=np.uint32)
+    return rank
+
+
+def window_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): the starts of the windows that lie before their place's end, by their
+    first WINDOW bytes, and whether each agrees in these with the one before it. Prefix
+    doubling from 8 bytes to 16, to 32 and, by an overlap, to the window's length."""
     n = len(data)
     room = ends - np.arange(n)
-    packed = np.zeros(n, U64)
+    rank = np.zeros(n, U64)
     for k in range(8):
-        packed[: n - k] |= data[k:].astype(U64) << U64(56 - 8 * k)
-    rank = packed
-    del packed
+        rank[: n - k] |= data[k:].astype(U64) << U64(56 - 8 * k)
     for step in (8, 16, WINDOW - 32):
-        small = np.unique(rank, return_inverse=True)[1].astype(np.uint32)
+        small = ranked(rank)
         rank = small.astype(U64) << U64(32)
         rank[: n - step] |= small[step:]
     at = np.flatnonzero(room >= WINDOW)
-    return at, np.unique(rank[at], return_inverse=True)[1]
+    order = np.argsort(rank[at])
+    s = rank[at[order]]
+    return at[order], np.concatenate([[False], s[1:] == s[:-1]])[: len(s)]
+
+
+def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last, least) of the windows of stretches that repeat groups give to a
+    smaller id than their stretch's own one; first and last count from its start."""
+    flat = np.frombuffer(data, np.uint8)
+    at, same = window_order(flat, np.repeat(stops, stops - begins))
+    # depth-WINDOW intervals of two suffixes or more
+    size = np.diff(np.append(np.flatnonzero(~same), len(at)))
+    at = at[np.repeat(size > 1, size)]
+    place = np.repeat(np.arange(len(own), dtype=np.int32), stops - begins)[at]
+    size = size[size > 1]
+    begin = np.cumsum(size) - size
+    found: list[tuple[int, int, int, int]] = []
+    if len(size):
+        starts = at == begins[place]
+        left = flat[at - 1].astype(np.int64)
+        diverse = np.minimum.reduceat(np.where(starts, -1, left), begin) != np.maximum.reduceat(np.where(starts, 256, left), begin)
+        differ = np.minimum.reduceat(own[place], begin) != np.maximum.reduceat(own[place], begin)
+        for g in np.flatnonzero(diverse & differ).tolist():
+            mine = slice(begin[g], begin[g] + size[g])
+            rows = sorted((data[a:z], p, a, 256 + k if f else c) for k, (a, z, p, f, c) in enumerate(zip(at[mine].tolist(), stops[place[mine]].tolist(), place[mine].tolist(), starts[mine].tolist(), left[mine].tolist(), strict=True)))
+            ids = [int(own[p]) for _, p, _, _ in rows]
+            lcp = [0, *[common(x[0], y[0]) for x, y in zip(rows, rows[1:], strict=False)]]
+            for length, i, j in scan(lcp, [r[3] for r in rows], WINDOW):
+                least = min(ids[i:j])
+                found += [(p, a - int(begins[p]), a - int(begins[p]) + length - WINDOW, least) for (_, p, a, _), k in zip(rows[i:j], ids[i:j], strict=True) if k > least]
+    out = np.array(found, np.int64).reshape(-1, 4)
+    return out[:, 0], out[:, 1], out[:, 2], out[:, 3]
 
 
 def least_ids(stretches: DataFrame, n: int) -> DataFrame:
@@ -280,15 +358,14 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
 
     def bucket(b: pa.Table) -> Iterator[pa.RecordBatch]:
         chunk, parts, lows = [], [], []
-        if b.num_rows:
-            for c, d, ls, low in zip(*[b.column(x).to_pylist() for x in ("chunk", "data", "lengths", "least")], strict=True):
-                at = 0
-                for k in np.frombuffer(ls, "<u2").tolist():
-                    parts.append(d[at : at + k])
-                    at += k
-                low = np.frombuffer(low, "<i8")
-                lows.append(low)
-                chunk.append(np.full(len(low), c, np.int64))
+        for c, d, ls, low in zip(*[b.column(x).to_pylist() for x in ("chunk", "data", "lengths", "least")], strict=True):
+            at = 0
+            for k in np.frombuffer(ls, "<u2").tolist():
+                parts.append(d[at : at + k])
+                at += k
+            low = np.frombuffer(low, "<i8")
+            lows.append(low)
+            chunk.append(np.full(len(low), c, np.int64))
         if not parts:
             return
         low, chunk = np.concatenate(lows), np.concatenate(chunk)
@@ -297,31 +374,24 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
         own = np.full(len(index), LAST_ID, np.int64)
         np.minimum.at(own, which, low)
         lengths = np.array(list(map(len, index)), np.int64)
-        data = np.frombuffer(b"".join(index), np.uint8)
+        data = b"".join(index)
         del parts, index
         stops = np.cumsum(lengths)
         begins = stops - lengths
-        at, rank = window_ranks(data, np.repeat(stops, lengths))
-        place = np.repeat(np.arange(len(lengths)), lengths)[at]
-        best = np.full(int(rank.max()) + 1, LAST_ID, np.int64)
-        np.minimum.at(best, rank, own[place])
-        found = best[rank]
-        # runs of windows of a stretch with one smallest id
-        cut = np.concatenate([[True], (place[1:] != place[:-1]) | (found[1:] != found[:-1])])
-        lead = np.flatnonzero(cut)
-        r_place, r_id = place[lead], found[lead]
-        r_first = at[lead] - begins[r_place]
-        r_last = at[np.concatenate([lead[1:], [len(cut)]]) - 1] - begins[r_place]
-        hold = Anchored.__new__(Anchored)
-        symbols = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-        hold.sums = np.concatenate([np.zeros(1, U64), np.cumsum(symbols[data] * powers(BASE, len(data)))])
-        hold.inverse = powers(INVERSE, len(data) + 1)
-        names = hold.named(begins, stops - WINDOW)
+        r_place, r_first, r_last, r_id = smaller_ids(data, begins, stops, own)
+        # the stretch itself is a repeat of those who sent it
+        r_place = np.concatenate([np.arange(len(own)), r_place])
+        r_first = np.concatenate([np.zeros(len(own), np.int64), r_first])
+        r_last = np.concatenate([lengths - WINDOW, r_last])
+        r_id = np.concatenate([own, r_id])
+        by = np.argsort(r_place, kind="stable")
+        r_place, r_first, r_last, r_id = r_place[by], r_first[by], r_last[by], r_id[by]
+        names = named(sums_of(data), powers(INVERSE, len(data) + 1), begins, stops - WINDOW)
         runs_of = np.searchsorted(r_place, np.arange(len(lengths) + 1))
         order = np.lexsort((which, chunk))
         edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            mine = order[a:b]
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine = order[a:z]
             count = runs_of[which[mine] + 1] - runs_of[which[mine]]
             asked = np.repeat(mine, count)
             first = np.repeat(runs_of[which[mine]], count)
@@ -334,35 +404,37 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
     return stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
 
-def _local(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    return texts(table.column("text")), ids_of(table)
-
-
-def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The columns of docs with `kept`, the remaining bytes, n_bytes, n_removed and spans,
-    the removed byte intervals."""
-    made = ["chunk", "kept", "n_bytes", "n_removed", "spans"]
-    columns = [c for c in docs.columns if c not in made]
-    spread, n = chunked(docs.select(*columns))
+def removed(docs: DataFrame, hot: int = HOT, into: str = "removal") -> DataFrame:
+    """The columns of docs and `into`, a struct of kept, the remaining bytes, n_bytes,
+    n_removed and spans, the removed byte intervals."""
+    spread, n, chunks = chunked(docs)
+    spread = spread.withColumn("id", F.col("row")["doc_id"].cast("bigint"))
+    buckets = max(n * SPLIT, chunks // 2)
 
     def ask(table: pa.Table) -> pa.Table:
-        data = texts(table.column("text"))
-        found = [Anchored(data[a:b]).anchors() for a, b in groups(data)]
-        return bucketed(table.column("chunk")[0].as_py(), twice(np.concatenate(found)), n * SPLIT)
+        found = twice(np.concatenate([Anchored(p).anchors() for _, _, p in parts(texts(table.column("text")))]))
+        full, edges = np.unique(bucket_of(found, buckets), return_index=True)
+        cuts = [*edges.tolist(), len(found)]
+        packed = [found[a:z].astype("<u8").tobytes() for a, z in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(full), pa.int64()), "hashes": pa.array(packed, pa.binary())})
+
+    def asked(data: list[bytes], ids: np.ndarray, known: np.ndarray, crowded: np.ndarray) -> Iterator[tuple]:
+        """Of some parts of texts: texts, offsets, the parts, and first and last window, key
+        and owner of the stretches that another document may have."""
+        for which, offset, held in parts(data):
+            x = Anchored(held)
+            first, last, key = x.stretches(crowded)
+            use = within(x.anchor[np.searchsorted(x.at, first)], known) if len(first) else np.zeros(0, bool)
+            first, last, key = first[use], last[use], key[use]
+            yield which, offset, x, first, last, key, ids[which[np.searchsorted(x.starts, first, side="right") - 1]]
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         known, crowded = np.sort(gathered(answers, "hashes", "<u8")), np.sort(gathered(answers, "hot", "<u8"))
         names = ["bucket", "chunk", "data", "lengths", "least"]
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        data, ids = _local(table)
         best: dict[bytes, tuple[int, int]] = {}
-        for a, b in groups(data) if len(known) else ():
-            x = Anchored(data[a:b])
-            first, last, key = x.stretches(crowded)
-            asked = within(x.anchor[np.searchsorted(x.at, first)], known)
-            first, last, key = first[asked], last[asked], key[asked]
-            owner = ids[a:b][np.searchsorted(x.starts, first, side="right") - 1]
-            bucket = (mix(key) >> U64(32)) * U64(n * SPLIT) >> U64(32)
+        for _, _, x, first, last, key, owner in asked(texts(table.column("text")), ids_of(table), known, crowded) if len(known) else ():
+            bucket = bucket_of(mix(key), buckets)
             for s, e, i, k in zip(first.tolist(), (last + WINDOW).tolist(), owner.tolist(), bucket.tolist(), strict=True):
                 p = x.bytes[s:e]
                 old = best.get(p)
@@ -376,28 +448,22 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        data, ids = _local(table)
-        crowded = np.sort(gathered(answers, "hot", "<u8"))
+        data, ids = texts(table.column("text")), ids_of(table)
         name, r_first, r_last, least = gathered(answers, "names", "<u8"), gathered(answers, "first", "<u2").astype(np.int64), gathered(answers, "last", "<u2").astype(np.int64), gathered(answers, "least", "<i8")
         order = np.argsort(name, kind="stable")
         name, r_first, r_last, least = name[order], r_first[order], r_last[order], least[order]
-        known = np.sort(gathered(answers, "hashes", "<u8"))
         # the least id of a stretch in the chunk itself, wherever in it it lies
         pieces = []
-        for a, b in groups(data):
-            x = Anchored(data[a:b])
-            first, last, key = x.stretches(crowded)
-            asked = within(x.anchor[np.searchsorted(x.at, first)], known) if len(first) else np.zeros(0, bool)
-            first, last = first[asked], last[asked]
-            owner = ids[a:b][np.searchsorted(x.starts, first, side="right") - 1]
-            pieces.append((a, b, first, last, owner, x.named(first, last), x.starts))
-        every = np.concatenate([p[5] for p in pieces]) if pieces else np.zeros(0, U64)
+        for which, offset, x, first, last, _, owner in asked(data, ids, np.sort(gathered(answers, "hashes", "<u8")), np.sort(gathered(answers, "hot", "<u8"))):
+            pieces.append((which, offset, first, last, owner, x.named(first, last), x.starts))
+        every = np.concatenate([np.zeros(0, U64), *[p[5] for p in pieces]])
         names, inverse = np.unique(every, return_inverse=True)
         low = np.full(len(names), LAST_ID, np.int64)
         if len(every):
             np.minimum.at(low, inverse, np.concatenate([p[4] for p in pieces]))
-        kept, n_removed, spans, at = [], [], [], 0
-        for a, b, first, last, owner, _, starts in pieces:
+        gone: dict[int, np.ndarray] = {}
+        at = 0
+        for which, offset, first, last, owner, _, starts in pieces:
             mine = inverse[at : at + len(first)]
             at += len(first)
             marks = np.zeros(int(starts[-1]) + 1, np.int32)
@@ -411,30 +477,33 @@ def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
             use = least[q] < owner[s] if len(q) else np.zeros(0, bool)
             np.add.at(marks, first[s[use]] + r_first[q[use]], 1)
             np.add.at(marks, first[s[use]] + r_last[q[use]] + WINDOW, -1)
-            gone = np.cumsum(marks[:-1]) > 0
-            for i in range(a, b):
-                g = gone[starts[i - a] : starts[i - a + 1]]
-                k = int(g.sum())
-                n_removed.append(k)
-                if not k:
-                    kept.append(data[i])
-                    spans.append([])
-                    continue
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))).tolist()
-                spans.append([{"start": u, "end": v} for u, v in zip(edges[::2], edges[1::2], strict=True)])
-                kept.append(np.frombuffer(data[i], np.uint8)[~g].tobytes())
+            hit = np.cumsum(marks[:-1]) > 0
+            for k in np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist():
+                i, a = int(which[k]), int(offset[k])
+                g = gone.setdefault(i, np.zeros(len(data[i]), bool))
+                g[a : a + int(starts[k + 1] - starts[k])] |= hit[starts[k] : starts[k + 1]]
+        kept, spans = [], []
+        for i, t in enumerate(data):
+            g = gone.get(i)
+            if g is None:
+                kept.append(t)
+                spans.append([])
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))).tolist()
+            spans.append([{"start": u, "end": v} for u, v in zip(edges[::2], edges[1::2], strict=True)])
+            kept.append(np.frombuffer(t, np.uint8)[~g].tobytes())
+        sizes = [[len(t) for t in data], [len(t) - len(k) for t, k in zip(data, kept, strict=True)]]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        cols = [*[table.column(c) for c in columns], pa.array(kept, pa.binary()), pa.array([len(t) for t in data], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)]
-        return pa.table(cols, names=[*columns, "kept", "n_bytes", "n_removed", "spans"])
+        made = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(sizes[0], pa.int64()), pa.array(sizes[1], pa.int64()), pa.array(spans, kind)], names=["kept", "n_bytes", "n_removed", "spans"])
+        return pa.table([table.column("row"), table.column("text"), table.column("copies"), made], names=["row", "text", "copies", "made"])
 
     anchors = answered(spread.groupBy("chunk").applyInArrow(ask, "bucket int, chunk bigint, hashes binary"), n, hot)
     stretches = spread.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(send, STRETCHES)
     answers = anchors.unionByName(least_ids(stretches, n))
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span))])
-    return spread.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    schema = T.StructType([*[spread.schema[c] for c in ("row", "text", "copies")], *T.StructType.fromDDL("made struct<kept: binary, n_bytes: bigint, n_removed: bigint, spans: array<struct<start: int, end: int>>>").fields])
+    return restored(spread.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), docs, into)
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = removed(read(spark, sf_dir).select("doc_id", "text"))
+    d = removed(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "removal.*")
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
