@@ -7,35 +7,42 @@ hash lies below the fraction, the smallest one stays, so only a text without wor
 empty sketch; fewer words than a shingle form one shingle.
 
 The query compares each document with its edited text, whose end comes from the next
-document in descending id order. Texts are range-partitioned by id once. Within a partition
-the next document is the next row; the last row of a partition takes the first one of the
-next partition, for which one head and one tail of each partition are brought together: as
-many rows as there are partitions.
+document in descending id order. Texts move once, into parts of that order. The parts' bounds
+come from a sample chosen by hash, some SAMPLES rows a part, of which ids and the first
+characters of texts go to the driver, equal ones as one; there are MOST_PARTS at most. A
+row's part is a function of the row and the bounds, so a part is the same whoever works it
+out, and a hot id is cut by its texts. Within a part the next document is the next row; the
+last row of a part meets the first one of the next part under that part's number.
 
 Rows: a null text is the empty text; equal ids are ordered by text, null ids come last; of
 equal rows each has its own next; a single document is its own next. Two empty sketches are
-alike (1), an empty and another are not (0). An empty table gives an empty one.
+alike (1), an empty and another are not (0). An empty table gives an empty one; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import U64, input_bytes, mix, pieces, read, shuffle_partitions, texts
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALED = 8
+SCALED = 4
 POWERS = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)]
-#: Stored input bytes of one range partition.
-PART_BYTES = 8 << 20
+#: Stored input bytes of one part, and the most parts.
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
+#: Sampled rows for each part, and the characters of a text that order equal ids.
+SAMPLES, HEAD = 16, 32
 
 
 def sketch(data: bytes, shingle: int = SHINGLE, scaled: int = SCALED) -> np.ndarray:
@@ -113,16 +120,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition but its last, each against the next."""
-    last = None
+    """All rows of each part but its last, against the next one. The rows are in order."""
+    last, at = None, None
     for whole in batches:
         for b in pieces(whole, "text", 1 << 20):
             out = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for part, i, t in zip(*[b.column(c).to_pylist() for c in ("part", "doc_id", "text")], strict=True):
                 s = sketch(t.encode())
-                if last is not None:
+                if last is not None and part == at:
                     out.append(compared(*last, t, s))
-                last = i, t, s
+                last, at = (i, t, s), part
             if out:
                 yield _batch(out)
 
@@ -131,40 +138,65 @@ def _order(doc_id: int | None, text: str) -> tuple:
     return doc_id is None, -(doc_id or 0), text.encode()
 
 
+ENDS = "part int, head string, tail struct<doc_id: bigint, text: string>"
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a partition."""
-    first = last = None
+    """The first and the last row of each part."""
+    first: dict[int, tuple] = {}
+    last: dict[int, tuple] = {}
     for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for part, i, t in zip(*[b.column(c).to_pylist() for c in ("part", "doc_id", "text")], strict=True):
             k = _order(i, t)
-            if first is None or k < first[0]:
-                first = k, i, t
-            if last is None or k >= last[0]:
-                last = k, i, t
-    if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([first[1]], pa.int64()), pa.array([first[2]]), pa.array([last[1]], pa.int64()), pa.array([last[2]])], names=["head_id", "head", "tail_id", "tail"])
+            if part not in first or k < first[part][0]:
+                first[part] = k, i, t
+            if part not in last or k >= last[part][0]:
+                last[part] = k, i, t
+    for part, (_, _, head) in first.items():
+        tail = pa.StructArray.from_arrays([pa.array([last[part][1]], pa.int64()), pa.array([last[part][2]], pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([head], pa.string()), tail], names=["part", "head", "tail"])
 
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [compared(i, t, sketch(t.encode()), n, sketch(n.encode())) for i, t, n in zip(b.column("tail_id").to_pylist(), b.column("tail").to_pylist(), b.column("following").to_pylist(), strict=True)]
+        rows = [compared(tail["doc_id"], tail["text"], sketch(tail["text"].encode()), n, sketch(n.encode())) for tail, n in zip(b.column("tail").to_pylist(), b.column("head").to_pylist(), strict=True)]
         if rows:
             yield _batch(rows)
 
 
-def edits(docs: DataFrame) -> DataFrame:
+def bounds(d: DataFrame, parts: int) -> list[tuple]:
+    """Where each part but the last ends, in the order of rows."""
+    some = min(1.0, SAMPLES * parts / max(1, d.count()))
+    chosen = d.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(some * (1 << 20)) + 1)
+    rows = chosen.groupBy("doc_id", F.substring("text", 1, HEAD).alias("head")).count().collect()
+    keys = sorted((_order(r.doc_id, r.head), r[2]) for r in rows)
+    total, seen, out = sum(n for _, n in keys), 0, []
+    for k, n in keys:
+        if seen * parts // max(1, total) > len(out) and (not out or out[-1] < k):
+            out.append(k)
+        seen += n
+    return out
+
+
+def edits(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Each document against its edited text and the next document."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(shuffle_partitions(docs), input_bytes(docs) // PART_BYTES)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    # by the id alone: the sample that sets the ranges goes to the driver, and is to hold no texts
-    ranged = d.repartitionByRange(int(n), F.col("doc_id").desc_nulls_last())
-    inside = ranged.sortWithinPartitions(*order).mapInArrow(_inside, RESULT)
-    ends = ranged.mapInArrow(_ends, "head_id bigint, head string, tail_id bigint, tail string")
-    w = Window.orderBy(F.col("head_id").desc_nulls_last(), F.col("head").asc(), F.col("tail_id").desc_nulls_last(), F.col("tail").asc())
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = ends.select("tail_id", "tail", F.coalesce(F.lead("head").over(w), F.first("head").over(whole)).alias("following"))
-    return inside.unionByName(joined.mapInArrow(_tails, RESULT))
+    cuts = bounds(d, max(1, min(MOST_PARTS, input_bytes(docs) // part_bytes)))
+
+    @F.pandas_udf("int")
+    def part_of(none: pd.Series, doc_id: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, (n, -i, h.encode())) for n, i, h in zip(none.tolist(), doc_id.tolist(), head.tolist(), strict=True)], dtype="int32")
+
+    part = part_of(F.isnull("doc_id"), F.coalesce("doc_id", F.lit(0)), F.substring("text", 1, HEAD))
+    used = sorted(r.part for r in d.select(part.alias("part")).distinct().collect())
+    spread = d.withColumn("part", part).repartition(max(len(used), shuffle_partitions(docs)), "part")
+    inside = spread.sortWithinPartitions("part", F.col("doc_id").desc_nulls_last(), F.col("text").asc()).mapInArrow(_inside, RESULT)
+    after = F.broadcast(docs.sparkSession.createDataFrame(list(zip(used, [*used[1:], *used[:1]], strict=True)), "part int, following int"))
+    ends = spread.mapInArrow(_ends, ENDS).join(after, "part")
+    # a head comes under its part's number, a tail under that of the next one
+    both = ends.select(F.explode(F.array(F.struct(F.col("part").alias("at"), "head", F.lit(None).cast("struct<doc_id: bigint, text: string>").alias("tail")), F.struct(F.col("following").alias("at"), F.lit(None).cast("string").alias("head"), "tail"))).alias("x")).select("x.*")
+    met = both.groupBy("at").agg(F.max("head").alias("head"), F.max("tail").alias("tail"))
+    return inside.unionByName(met.select("head", "tail").mapInArrow(_tails, RESULT))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,64 @@ def test_substring(spark, small, rows):
     same(LLM_QUERIES["op5_substring"](spark, small), want, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+@pytest.mark.parametrize("name", ["substring", "suffix"])
+def test_removal_keeps_columns_and_counts_copies(spark, monkeypatch, name):
+    from keystrata.llm import common, substring
+
+    monkeypatch.setattr(common, "COPIES", 3)
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "c", 1, "r"), (2, "other words " + text, "c", 1, "r"), (3, None, None, None, None), *[(None, None, None, None, None)] * 9, *[(9, text, "c", 2, "x")] * 11, *[(10, "a text that is here ten times and has no repeat " * 2, "", 0, "")] * 10]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, chunk string, n_words int, `row` string").repartition(4)
+    module = {"substring": substring, "suffix": suffix}[name]
+    out = module.removed(docs)
+    assert out.columns == [*docs.columns, "removal"]
+    key = lambda r: tuple(r[c] for c in ("doc_id", "chunk", "n_words", "row"))
+    assert Counter(map(key, out.collect())) == Counter((a, c, d, e) for a, _, c, d, e in rows)
+    gone = {r.doc_id: r.removal.n_removed for r in out.collect()}
+    if name == "substring":
+        assert gone == {1: 50, 2: 50, 3: 0, None: 0, 9: 50, 10: 0}
+    else:
+        n = len(text)
+        assert gone == {1: 0, 2: n, 3: 0, None: 0, 9: n, 10: 0}
+
+
+@pytest.mark.parametrize("size", [64, 1000])
+def test_long_texts_come_in_parts(spark, small, monkeypatch, size):
+    monkeypatch.setattr(suffix, "PIECE", size)
+    r = np.random.RandomState(1)
+    data = [bytes(r.randint(97, 100, k, np.uint8)) for k in (0, 49, 50, 51, 700, 5000)]
+    seen = set()
+    for which, offset, held in suffix.parts(data):
+        for i, at, part in zip(which.tolist(), offset.tolist(), held, strict=True):
+            assert data[i][at : at + len(part)] == part
+            for k in range(len(part) - 49):
+                assert (i, at + k) not in seen
+                seen.add((i, at + k))
+    assert seen == {(i, k) for i, t in enumerate(data) for k in range(len(t) - 49)}
+
+
+@pytest.mark.parametrize("alphabet", [2, 3, 8])
+def test_smaller_ids_are_all_found(alphabet):
+    """The repeat groups of a bucket against every window of its stretches."""
+    r = np.random.RandomState(alphabet)
+    for _ in range(20):
+        base = [bytes(r.randint(97, 97 + alphabet, 70, np.uint8)) for _ in range(3)] + [b"a" * 120, b"ab" * 60]
+        parts = list({b"".join(base[k][: r.randint(50, 130)] for k in r.randint(0, 5, 2)) for _ in range(12)})
+        own = r.randint(0, 6, len(parts))
+        lengths = np.array(list(map(len, parts)))
+        stops = np.cumsum(lengths)
+        first: dict[bytes, int] = {}
+        for p, i in zip(parts, own.tolist(), strict=True):
+            for k in range(len(p) - 49):
+                first[p[k : k + 50]] = min(i, first.get(p[k : k + 50], i))
+        want = [{k: first[p[k : k + 50]] for k in range(len(p) - 49) if first[p[k : k + 50]] < i} for p, i in zip(parts, own.tolist(), strict=True)]
+        got: list[dict[int, int]] = [{} for _ in parts]
+        for p, a, z, least in zip(*suffix.smaller_ids(b"".join(parts), stops - lengths, stops, own), strict=True):
+            for k in range(a, z + 1):
+                got[p][k] = min(least, got[p].get(k, least))
+        assert got == want
+
+
 @pytest.mark.parametrize("hot", [suffix.HOT, 2])
 def test_suffix(spark, small, rows, hot):
     from pyspark.sql import functions as F
@@ -192,10 +250,20 @@ def test_suffix(spark, small, rows, hot):
             if first[t[s : s + 50]] < k:
                 g[s : s + 50] = b"\1" * 50
         want.append((i, len(t), sum(g), len(re.findall(b"\1+", bytes(g))), sha(bytes(c for c, x in zip(t, g, strict=True) if not x))))
-    d = suffix.removed(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "size"), hot)
+    d = suffix.removed(spark.read.parquet(f"{small}/documents.parquet"), hot).select("doc_id", "removal.*")
     same(d.select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)), want, d.select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).columns)
 
 
+def test_substring_hashes_and_buckets(spark, small, rows, monkeypatch):
+    """First hashes that all agree within a bucket only make more candidates."""
+    from keystrata.llm import substring
+
+    monkeypatch.setattr(substring, "LOW", np.uint64(0))
+    test_substring(spark, small, rows)
+    a, b = np.array([1, 1, 2, 5], np.uint64), np.array([7, 8, 7, 9], np.uint32)
+    assert substring.both_within(a, b, np.array([2, 1, 1, 9], np.uint64), np.array([6, 8, 9, 9], np.uint32)).tolist() == [False, True, False, False]
+
+
 def test_maximal_repeats():
     import random
 
@@ -279,16 +347,51 @@ def test_all_segmentations_are_summed():
         assert np.allclose(np.log(s.forward(w)), s.chain(w))
 
 
-def test_fingerprints(spark, small, rows):
+def brute_sketch(t: str) -> set[int]:
+    whole = (1 << 64) - 1
+
+    def scrambled(h: int) -> int:
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * m & whole
+        return h ^ h >> 33
+
+    w = [xxhash.xxh64_intdigest(bytes(c + 32 if 65 <= c <= 90 else c for c in x.encode())) for x in WORD.findall(t)]
+    k = min(5, len(w))
+    hs = {scrambled(sum(h * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, h in enumerate(w[i : i + k])) + k & whole) for i in range(len(w) - k + 1)} if w else set()
+    return {h for h in hs if h < (1 << 64) // fingerprint.SCALED} or ({min(hs)} if hs else set())
+
+
+@pytest.mark.parametrize("part_bytes", [fingerprint.PART_BYTES, 600])
+def test_fingerprints(spark, small, rows, part_bytes):
+    def like(a: set, b: set) -> float:
+        return round(len(a & b) / len(a | b) if a and b else float(a == b), 9)
+
     order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
     want = []
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         n = len(t) // 3
-        want.append((i, len(t), sha((t[: len(t) - n] + nxt[:n]).encode()), fingerprint.text_of(fingerprint.sketch(t.encode()))))
-    d = LLM_QUERIES["op10_fingerprint"](spark, small)
-    same(d, want, ["doc_id", "n_chars", "edited_sha256", "fingerprint"])
-    assert d.filter("near_edited < 0 OR near_edited > 1 OR near_next < 0 OR near_next > 1").count() == 0
+        e = t[: len(t) - n] + nxt[:n]
+        one, two, three = brute_sketch(t), brute_sketch(e), brute_sketch(nxt)
+        said = lambda s: "".join(f"{h:016x}" for h in sorted(s))
+        want.append((i, len(t), sha(e.encode()), said(one), said(two), like(one, two), like(one, three)))
+    d = fingerprint.edits(spark.read.parquet(f"{small}/documents.parquet"), part_bytes)
+    got = d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == Counter(want)
+
+
+def test_parts_of_a_hot_id(spark):
+    """A third of all rows without an id, and many equal rows, over many parts."""
+    rows = [(None, f"text {k % 70} of nobody " * 3) for k in range(200)] + [(k, f"text {k}") for k in range(200)] + [(7, "the same")] * 100
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    cuts = fingerprint.bounds(d, 20)
+    assert 10 < len(cuts) < 20 and cuts == sorted(set(cuts)) and sum(c[0] for c in cuts) > 3
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt, n = order[(k + 1) % len(order)][1], len(t) // 3
+        want[i, sha((t[: len(t) - n] + nxt[:n]).encode())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.edits(d, 50).collect()) == want
 
 
 def test_sketches_merge(texts):
