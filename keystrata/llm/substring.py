@@ -24,6 +24,8 @@ replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -39,8 +41,10 @@ WINDOW = 35
 #: Input bytes (as stored) of one chunk, in a corpus of up to WIDE bytes; chunks of a larger
 #: one grow with the root of its size, up to MOST_CHUNK_BYTES.
 CHUNK_BYTES, MOST_CHUNK_BYTES, WIDE = 3 << 20, 12 << 20, 16 << 30
-#: Chunks whose asks fill one bucket.
-BUCKET_CHUNKS = 8
+#: Bytes of text that a worker hashes at once.
+PIECE = 1 << 20
+#: Partitions in which windows are counted, for one of the input, and buckets in each.
+SPREAD, BUCKETS = 2, 2
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LOW = U64(0xFFFFFFFF)
@@ -64,7 +68,7 @@ class Words:
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, a, b) of every window that lies within one text: 64 and 32 bits of its
-        hash; starts count over all."""
+        hash; starts count over the words."""
         n = len(self.hashes)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint32)
@@ -78,6 +82,19 @@ class Words:
         return at, out[0], (out[1] >> U64(32)).astype(np.uint32)
 
 
+def worded(data: list[bytes]) -> Iterator[tuple[list[bytes], Words]]:
+    """Some PIECE bytes of texts at a time, or one longer text, with their words."""
+    held, size = [], 0
+    for t in data:
+        if size and size + len(t) > PIECE:
+            yield held, Words(held)
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held, Words(held)
+
+
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     """Which of n places lie in a window of `size` from one of the starts."""
     edge = np.zeros(n + 1, np.int32)
@@ -109,12 +126,10 @@ def within(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def both_within(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
-    """Which pairs (a, b) are among the others."""
+    """Which pairs (a, b) are among the others, which are in the order of a, then b."""
     out = np.zeros(len(a), bool)
     if not len(in_a):
         return out
-    order = np.lexsort((in_b, in_a))
-    in_a, in_b = in_a[order], in_b[order]
     first, last = np.searchsorted(in_a, a, "left"), np.searchsorted(in_a, a, "right")
     for k in range(int((last - first).max(initial=0))):
         q = first + k
@@ -158,15 +173,15 @@ def removed(docs: DataFrame, window: int = WINDOW, into: str = "removal") -> Dat
     """The columns of docs with text replaced by the kept words, joined by a space, where
     words were removed; and `into`, a struct of n_words, n_removed and spans, the removed
     word intervals."""
-    spread, n, chunks = chunked(docs)
-    buckets = max(n, chunks // BUCKET_CHUNKS)
+    spread, n, _ = chunked(docs)
+    spread_out = SPREAD * n
+    buckets = BUCKETS * spread_out
 
     def key(a: np.ndarray) -> np.ndarray:
         return bucket_of(a, buckets).astype(U64) << U64(32) | a & LOW
 
     def ask(table: pa.Table) -> pa.Table:
-        _, a, _ = Words(texts(table.column("text"))).windows(window)
-        a = twice(a)
+        a = twice(np.concatenate([w.windows(window)[1] for _, w in worded(texts(table.column("text")))]))
         bucket = bucket_of(a, buckets)
         full, edges = np.unique(bucket, return_index=True)
         chunk = pa.array(np.full(len(full), table.column("chunk")[0].as_py()), pa.int64())
@@ -177,9 +192,12 @@ def removed(docs: DataFrame, window: int = WINDOW, into: str = "removal") -> Dat
         if replies.num_rows and table.num_rows:
             sizes = pa.compute.list_value_length(replies.column("a")).to_numpy()
             known = np.sort(np.repeat(replies.column("bucket").to_numpy().astype(U64), sizes) << U64(32) | _flat(replies, "a", np.uint32).astype(U64))
-            _, a, b = Words(texts(table.column("text"))).windows(window)
-            hit = within(key(a), known)
-            a, b = a[hit], b[hit]
+            found = []
+            for _, w in worded(texts(table.column("text"))):
+                _, a, b = w.windows(window)
+                hit = within(key(a), known)
+                found.append((a[hit], b[hit]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         # each pair twice at most
@@ -192,29 +210,33 @@ def removed(docs: DataFrame, window: int = WINDOW, into: str = "removal") -> Dat
         return pa.table({"bucket": pa.array(full, pa.int64()), "chunk": chunk, "a": lists(ends, pa.array(a.view(np.int64))), "b": lists(ends, pa.array(b.view(np.int32)))})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        data = texts(table.column("text"))
-        w = Words(data)
-        at, a, b = w.windows(window)
-        gone = covered(len(w.hashes), at[both_within(a, b, _flat(replies, "a", U64), _flat(replies, "b", np.uint32))], window)
-        out, n_removed, spans = [], [], []
-        for i, t in enumerate(data):
-            g = gone[int(w.starts[i]) : int(w.starts[i + 1])]
-            k = int(g.sum())
-            n_removed.append(k)
-            if not k:
-                out.append(None if not table.column("text")[i].is_valid else t)
-                spans.append([])
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))).tolist()
-            spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-            out.append(b" ".join([x for x, gx in zip(w.lists[i], g.tolist(), strict=True) if not gx]))
+        known_a, known_b = _flat(replies, "a", U64), _flat(replies, "b", np.uint32)
+        order = np.lexsort((known_b, known_a))
+        known_a, known_b = known_a[order], known_b[order]
+        out, n_words, n_removed, spans = [], [], [], []
+        for held, w in worded(texts(table.column("text"))):
+            at, a, b = w.windows(window)
+            gone = covered(len(w.hashes), at[both_within(a, b, known_a, known_b)], window)
+            n_words += w.counts.tolist()
+            for i, t in enumerate(held):
+                g = gone[int(w.starts[i]) : int(w.starts[i + 1])]
+                k = int(g.sum())
+                n_removed.append(k)
+                if not k:
+                    out.append(t)
+                    spans.append([])
+                    continue
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))).tolist()
+                spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                out.append(b" ".join([x for x, gx in zip(w.lists[i], g.tolist(), strict=True) if not gx]))
+        kept = pa.compute.if_else(table.column("text").is_valid(), pa.array(out, pa.binary()).cast(pa.string()), pa.scalar(None, pa.string()))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        made = pa.StructArray.from_arrays([pa.array(w.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=["n_words", "n_removed", "spans"])
-        return pa.table([table.column("row"), pa.array(out, pa.binary()).cast(pa.string()), table.column("copies"), made], names=["row", "text", "copies", "made"])
+        made = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind)], names=["n_words", "n_removed", "spans"])
+        return pa.table([table.column("row"), kept, table.column("copies"), made], names=["row", "text", "copies", "made"])
 
-    first = counted(spread.groupBy("chunk").applyInArrow(ask, "bucket bigint, chunk bigint, a array<int>"), n, "a")
+    first = counted(spread.groupBy("chunk").applyInArrow(ask, "bucket bigint, chunk bigint, a array<int>"), spread_out, "a")
     again = spread.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_again, "bucket bigint, chunk bigint, a array<bigint>, b array<int>")
-    replies = counted(again, n, "a", "b")
+    replies = counted(again, spread_out, "a", "b")
     schema = T.StructType([*[spread.schema[c] for c in ("row", "text", "copies")], *T.StructType.fromDDL("made struct<n_words: bigint, n_removed: bigint, spans: array<struct<start: int, end: int>>>").fields])
     return restored(spread.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema), docs, into)
 
