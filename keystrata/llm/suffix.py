@@ -19,9 +19,10 @@ content:
    One whose left neighbours are all the same byte holds no maximal repeat, nor does any
    interval inside it, and is left at that; so is one whose stretches all have one smallest
    id. The others are sorted to the ends of their stretches, and the stack scan over their
-   common prefixes gives the repeat groups. A group's occurrences get the smallest id of the
-   group, over the repeat's whole length; that goes back to the chunks where it is smaller
-   than what they said, and so does a stretch's own smallest id.
+   common prefixes gives the repeat groups with their smallest ids: each suffix gets the
+   longest repeat that also is under a smaller id than its stretch's own. These lengths go
+   back to the chunks that sent the stretch, and so does its own smallest id where it is
+   smaller than what they said.
 4. A chunk marks the windows of each document for which a smaller id is known.
 
 Every window of 50 bytes is covered by the maximal repeat that has just its occurrences, so
@@ -320,9 +321,52 @@ def window_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[order], np.concatenate([[False], s[1:] == s[:-1]])[: len(s)]
 
 
-def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first, last, least) of the windows of stretches that repeat groups give to a
-    smaller id than their stretch's own one; first and last count from its start."""
+def given(lcp: list[int], left: list[int], ids: list[int]) -> Iterator[tuple[int, int]]:
+    """(suffix, length): the stack scan, with the smallest id of each interval. A suffix is
+    given the longest repeat whose occurrences have a smaller id than its own; shorter ones
+    that it begins lie within that. Where the left neighbours are alike, the repeat one byte
+    to the left says as much and more.
+
+    What is open in an interval all has the interval's smallest id, so a suffix moves when
+    that falls and not with every interval.
+    """
+    # an interval: length, left neighbour, smallest id, suffixes that have it, and those that
+    # got a smaller one from it
+    stack: list[list] = []
+
+    def take(into: list, left: int | None, least: int, still: list[int]) -> None:
+        into[1] = left if left == into[1] and left is not None and left < 256 else None
+        if least < into[2]:
+            into[4] += into[3]
+            into[2:4] = least, still
+        elif least > into[2]:
+            into[4] += still
+        elif len(still) > len(into[3]):
+            still += into[3]
+            into[3] = still
+        else:
+            into[3] += still
+
+    n = len(ids)
+    for i in range(1, n + 1):
+        h = lcp[i] if i < n else 0
+        node = left[i - 1], ids[i - 1], [i - 1]
+        while stack and stack[-1][0] > h:
+            top = stack.pop()
+            take(top, *node)
+            if top[1] is None:
+                for k in top[4]:
+                    yield k, top[0]
+            node = top[1], top[2], top[3]
+        if stack and stack[-1][0] == h:
+            take(stack[-1], *node)
+        elif h > 0:
+            stack.append([h, *node, []])
+
+
+def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last) of the windows of stretches that repeat groups give to a smaller
+    id than their stretch's own one; first and last count from its start."""
     flat = np.frombuffer(data, np.uint8)
     at, same = window_order(flat, np.repeat(stops, stops - begins))
     # depth-WINDOW intervals of two suffixes or more
@@ -331,22 +375,24 @@ def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndar
     place = np.repeat(np.arange(len(own), dtype=np.int32), stops - begins)[at]
     size = size[size > 1]
     begin = np.cumsum(size) - size
-    found: list[tuple[int, int, int, int]] = []
+    found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
     if len(size):
         starts = at == begins[place]
         left = flat[at - 1].astype(np.int64)
         diverse = np.minimum.reduceat(np.where(starts, -1, left), begin) != np.maximum.reduceat(np.where(starts, 256, left), begin)
         differ = np.minimum.reduceat(own[place], begin) != np.maximum.reduceat(own[place], begin)
+        left[starts] = 256
         for g in np.flatnonzero(diverse & differ).tolist():
-            mine = slice(begin[g], begin[g] + size[g])
-            rows = sorted((data[a:z], p, a, 256 + k if f else c) for k, (a, z, p, f, c) in enumerate(zip(at[mine].tolist(), stops[place[mine]].tolist(), place[mine].tolist(), starts[mine].tolist(), left[mine].tolist(), strict=True)))
-            ids = [int(own[p]) for _, p, _, _ in rows]
-            lcp = [0, *[common(x[0], y[0]) for x, y in zip(rows, rows[1:], strict=False)]]
-            for length, i, j in scan(lcp, [r[3] for r in rows], WINDOW):
-                least = min(ids[i:j])
-                found += [(p, a - int(begins[p]), a - int(begins[p]) + length - WINDOW, least) for (_, p, a, _), k in zip(rows[i:j], ids[i:j], strict=True) if k > least]
-    out = np.array(found, np.int64).reshape(-1, 4)
-    return out[:, 0], out[:, 1], out[:, 2], out[:, 3]
+            p, a = place[begin[g] : begin[g] + size[g]], at[begin[g] : begin[g] + size[g]]
+            rest = [data[x:z] for x, z in zip(a.tolist(), stops[p].tolist(), strict=True)]
+            order = sorted(range(len(rest)), key=rest.__getitem__)
+            lcp = [0, *[common(rest[x], rest[y]) for x, y in zip(order, order[1:], strict=False)]]
+            hit = np.array(list(given(lcp, left[begin[g] : begin[g] + size[g]][order].tolist(), own[p][order].tolist())), np.int64).reshape(-1, 2)
+            k = np.array(order)[hit[:, 0]]
+            first = a[k] - begins[p[k]]
+            found.append(np.stack([p[k], first, first + hit[:, 1] - WINDOW], 1))
+    out = np.concatenate(found)
+    return out[:, 0], out[:, 1], out[:, 2]
 
 
 def least_ids(stretches: DataFrame, n: int) -> DataFrame:
@@ -378,8 +424,10 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
         del parts, index
         stops = np.cumsum(lengths)
         begins = stops - lengths
-        r_place, r_first, r_last, r_id = smaller_ids(data, begins, stops, own)
-        # the stretch itself is a repeat of those who sent it
+        r_place, r_first, r_last = smaller_ids(data, begins, stops, own)
+        # an id below the stretch's own is below those of all who sent it, so the least one of
+        # all may stand for it; and the stretch itself is a repeat of those who sent it
+        r_id = np.full(len(r_place), -LAST_ID)
         r_place = np.concatenate([np.arange(len(own)), r_place])
         r_first = np.concatenate([np.zeros(len(own), np.int64), r_first])
         r_last = np.concatenate([lengths - WINDOW, r_last])
