@@ -58,3 +58,8 @@ def overlaps(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Colu
 def checksum(key: str = "key", value: str = "value") -> Column:
     """CRC-32 over key and value bytes."""
     return F.crc32(F.concat(F.col(key), F.coalesce(F.col(value), F.lit(b""))))
+
+
+def intact(stored: str, key: str = "key", value: str = "value") -> Column:
+    """Does a record fit the checksum that was stored with it? A reader drops the others."""
+    return checksum(key, value) == F.col(stored)

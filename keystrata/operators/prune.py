@@ -1,24 +1,58 @@
-"""Which runs and blocks can hold a key: fences, membership, block index."""
+"""Which runs and blocks can hold a key: fences, Bloom filters, block index, restart points."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to so many runs their key ranges are broadcast.
+BROADCAST_RUNS = 100_000
+#: A filter for 100,000 keys with one false answer in a hundred.
+BLOOM_BITS, BLOOM_HASHES = 958_506, 7
+#: Bits of one row of a filter.
+BITMAP = 32_768
 
-def fence(probes: DataFrame, runs: DataFrame) -> DataFrame:
+
+def _prefix(key: Column) -> Column:
+    """The first two bytes as a number, which never falls as keys rise."""
+    byte = lambda i: F.coalesce(F.conv(F.nullif(F.hex(F.substring(key, i, 1)), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    return byte(1) * 256 + byte(2)
+
+
+def fence(probes: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(key, run_id) where the key lies in the run's closed range.
 
-    A range join against the runs' metadata: one row for each run file, so the callers
-    bound it before this is planned; it never holds entries.
+    The runs' metadata are broadcast up to `broadcast_runs` runs, which are counted; more
+    are spread under the two-byte prefixes of their range and joined by these.
     """
-    return probes.join(F.broadcast(runs.select("run_id", "min_key", "max_key")), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "run_id")
+    ranges = runs.select("run_id", "min_key", "max_key")
+    inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
+    if ranges.limit(broadcast_runs + 1).count() <= broadcast_runs:
+        return probes.join(F.broadcast(ranges), inside).select("key", "run_id")
+    spread = ranges.withColumn("_prefix", F.explode(F.sequence(_prefix(F.col("min_key")), _prefix(F.col("max_key")))))
+    return probes.withColumn("_prefix", _prefix(F.col("key"))).join(spread, "_prefix").filter(inside).select("key", "run_id")
+
+
+def _bits(bits: int, hashes: int) -> Column:
+    """The places of a key in a filter: two halves of its MD5, one stepping by the other."""
+    half = lambda i: F.conv(F.substring(F.md5("key"), i, 8), 16, 10).cast("bigint")
+    return F.array(*[(half(1) + half(9) * F.lit(i)) % F.lit(bits) for i in range(hashes)])
 
 
-def members(candidates: DataFrame, log: DataFrame) -> DataFrame:
-    """Of the candidates, those whose run holds the key: the bound that a Bloom filter's
-    answer, which knows no false negative, includes."""
-    return candidates.join(log.select("key", "run_id"), ["key", "run_id"], "left_semi")
+def bloom_filters(log: DataFrame, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """(run_id, part, bitmap): the Bloom filter of each run's keys, BITMAP bits a row."""
+    at = log.select("run_id", F.explode(_bits(bits, hashes)).alias("at"))
+    return at.groupBy("run_id", F.floor(F.col("at") / BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("bitmap"))
+
+
+def might_contain(candidates: DataFrame, filters: DataFrame, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """Of the candidates (key, run_id), those whose run's filter has all bits of the key:
+    every key that is there, and now and then one that is not."""
+    asked = candidates.select("key", "run_id", F.explode(F.array_distinct(_bits(bits, hashes))).alias("at")).withColumn("part", F.floor(F.col("at") / BITMAP))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), ((F.col("at") % BITMAP) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("at") % 8).cast("int")) == 1
+    said = asked.join(filters, ["run_id", "part"], "left").groupBy("key", "run_id").agg(F.bool_and(F.coalesce(hit, F.lit(False))).alias("maybe"))
+    return said.filter("maybe").select("key", "run_id")
 
 
 def block_index(blocks: DataFrame) -> DataFrame:
@@ -30,3 +64,15 @@ def seek(candidates: DataFrame, index: DataFrame) -> DataFrame:
     """For each (key, run), the first block whose last key is not below the key."""
     hit = candidates.join(index, "run_id").filter(F.col("last_key") >= F.col("key"))
     return hit.groupBy("key", "run_id").agg(F.min("block_id").alias("block_id"))
+
+
+def restart_search(sought: DataFrame, blocks: DataFrame) -> DataFrame:
+    """sought (key, run_id, block_id) with the restart point at or below the key, null if
+    it lies below the block's first, and whether an entry up to the next point has the key.
+    blocks: the entries, with `restart`."""
+    upto = Window.partitionBy("run_id", "block_id").orderBy("key", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entries = blocks.select("run_id", "block_id", "key", F.max(F.when(F.col("restart"), F.col("key"))).over(upto).alias("point"))
+    points = blocks.filter("restart").select("run_id", "block_id", F.col("key").alias("point")).orderBy("run_id", "block_id", "point")
+    at = sought.join(points, ["run_id", "block_id"], "left").groupBy("key", "run_id", "block_id").agg(F.max(F.when(F.col("point") <= F.col("key"), F.col("point"))).alias("point"))
+    found = entries.select("run_id", "block_id", "key", "point", F.lit(True).alias("hit")).distinct()
+    return at.join(found, ["run_id", "block_id", "key", "point"], "left").select("key", "run_id", "block_id", "point", F.coalesce("hit", F.lit(False)).alias("found"))

@@ -7,8 +7,6 @@ scan, as the key is what is grouped by.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +87,3 @@ def upsert(old: DataFrame, tail: DataFrame) -> DataFrame:
     """Replay a log tail over an older resolved state."""
     cols = ["key", "seq", "tombstone", "value"]
     return latest(old.select(*cols).unionByName(tail.select(*cols)))
-
-
-def union_all(parts: Iterable[DataFrame]) -> DataFrame:
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    if out is None:
-        raise ValueError("no parts")
-    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.scalar import FILE_OVERHEAD, entry_size, file_target_of
 from keystrata.operators.resolve import latest
-from keystrata.operators.running import running_total
 
 BLOCK_BYTES = 4096
 RESTART_EVERY = 16
@@ -34,44 +33,82 @@ def memtable_size(tail: DataFrame) -> DataFrame:
     return latest(tail).agg(F.count("*").alias("entries"), F.coalesce(F.sum(entry_size()), F.lit(0)).cast("bigint").alias("bytes"))
 
 
-def flush_ids(log: DataFrame, limit: int, shard: str) -> DataFrame:
-    """The flush that takes each mutation when a buffer is flushed at `limit` distinct keys.
-
-    An overwrite does not fill the buffer, so this is a fold in sequence order and no
-    window function. `shard` names the column of independent writers: each folds its own
-    rows, streamed in order, with the keys of one buffer (at most `limit`) as the state.
-    """
+def _folded(rows: DataFrame, by: str, order: list[str], sizes: list[str], step: Callable[[], Callable[..., int]], name: str) -> DataFrame:
+    """rows (by, order, sizes and others) with `name`, a number that a fold in order gives
+    within each value of `by`. A task streams its rows; step() makes the fold of one value."""
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, flush, seen = object(), 0, set()
+        at, number = object(), None
         for pdf in parts:
             out = []
-            for s, k in zip(pdf[shard], pdf["key"], strict=True):
+            for s, *x in zip(pdf[by], *[pdf[c] for c in sizes], strict=True):
                 if s != at:
-                    at, flush, seen = s, 0, set()
-                seen.add(bytes(k))
-                out.append(flush)
-                if len(seen) >= limit:
-                    flush, seen = flush + 1, set()
-            yield pd.DataFrame({shard: pdf[shard], "seq": pdf["seq"], "flush_id": out})
+                    at, number = s, step()
+                out.append(number(*x))
+            yield pdf.assign(**{name: out})
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", {name} bigint"
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInPandas(fold, schema)
+
+
+def flush_ids(log: DataFrame, limit: int, shard: str, limit_bytes: int | None = None) -> DataFrame:
+    """The flush that takes each mutation when a buffer is flushed at `limit` distinct keys
+    or at `limit_bytes` of keys and values.
+
+    An overwrite does not fill the buffer by another key, and its old value no longer
+    counts, so this is a fold in sequence order and no window function. `shard` names the
+    column of independent writers: each folds its own rows, streamed in order, with the keys
+    of one buffer (at most `limit`) as the state.
+    """
+
+    def buffer() -> Callable[[bytes, int], int]:
+        flush, held, seen = 0, 0, {}
+
+        def put(key: bytes, size: int) -> int:
+            nonlocal flush, held
+            mine = flush
+            held += size - seen.get(bytes(key), 0)
+            seen[bytes(key)] = size
+            if len(seen) >= limit or (limit_bytes is not None and held >= limit_bytes):
+                flush, held = flush + 1, 0
+                seen.clear()
+            return mine
+
+        return put
+
+    size = F.lit(0) if limit_bytes is None else entry_size()
+    return _folded(log.select(shard, "seq", "key", size.alias("_size")), shard, ["seq"], ["key", "_size"], buffer, "flush_id").select(shard, "seq", "flush_id")
+
+
+def _rolled(full: Callable[[int, int], bool]) -> Callable[[], Callable[[int], int]]:
+    """A fold that counts up before a record for which full(written, size) holds."""
+
+    def start() -> Callable[[int], int]:
+        number, written = 0, 0
 
-    kind = dict(log.dtypes)[shard]
-    return log.select(shard, "seq", "key").repartition(shard).sortWithinPartitions(shard, "seq").mapInPandas(fold, f"{shard} {kind}, seq bigint, flush_id bigint")
+        def add(size: int) -> int:
+            nonlocal number, written
+            if written and full(written, size):
+                number, written = number + 1, 0
+            written += size
+            return number
 
+        return add
 
-def _running(order: list[str], by: list[str], size: Column) -> Column:
-    return F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return start
 
 
 def block_ids(run: DataFrame, size: Column, block_bytes: int = BLOCK_BYTES, by: str = "run_id") -> DataFrame:
-    """block_id by the bytes written before an entry in its run: the even-split form, in
-    which an entry may lie over a block's end."""
-    return run.withColumn("block_id", F.floor(F.coalesce(_running(["key", "seq"], [by], size), F.lit(0)) / block_bytes).cast("bigint"))
+    """run with block_id: a block ends before the record that would not fit, and a record
+    larger than a block has one of its own. A fold over each run in key order."""
+    return _folded(run.withColumn("_size", size), by, ["key", "seq"], ["_size"], _rolled(lambda written, size: written + size > block_bytes), "block_id").drop("_size")
 
 
-def file_ids(run: DataFrame, size: Column, level: int) -> DataFrame:
-    """The output file of each entry in key order, at the level's target size."""
-    return running_total(run, ["key", "seq"], size, "_at").withColumn("file_id", F.floor(F.col("_at") * FILE_OVERHEAD / file_target_of(level)).cast("bigint")).drop("_at")
+def file_ids(entries: DataFrame, size: Column, target: int, by: str) -> DataFrame:
+    """entries with file_id: a writer's file ends before the record with which it would pass
+    the target size, what was written counting 1.2 times. `by` names the column of
+    independent writers, each with a key range of its own."""
+    return _folded(entries.withColumn("_size", size), by, ["key", "seq"], ["_size"], _rolled(lambda written, size: int(written * FILE_OVERHEAD) + size > target), "file_id").drop("_size")
 
 
 def restart_flags(blocks: DataFrame, every: int = RESTART_EVERY, by: str = "run_id") -> DataFrame:
@@ -82,10 +119,13 @@ def restart_flags(blocks: DataFrame, every: int = RESTART_EVERY, by: str = "run_
 
 def write_run_files(entries: DataFrame, path: str, total_bytes: int, level: int, rows: int) -> DataFrame:
     """Write entries as key-ordered Parquet files with key statistics and Bloom filters and
-    return the properties of each file. Files cover disjoint key ranges."""
+    return the properties of each file. Files cover disjoint key ranges. total_bytes and rows
+    may be upper bounds. Each entry's size is a column, so that the properties are read
+    without the values."""
     n = max(1, -(-int(total_bytes * FILE_OVERHEAD) // file_target_of(level)))
     (
-        entries.repartitionByRange(n, "key")
+        entries.withColumn("size", entry_size())
+        .repartitionByRange(n, "key")
         .sortWithinPartitions("key", "seq")
         .write.option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows // n)))
@@ -93,5 +133,5 @@ def write_run_files(entries: DataFrame, path: str, total_bytes: int, level: int,
         .mode("overwrite")
         .parquet(path)
     )
-    written = entries.sparkSession.read.parquet(path)
-    return properties(written.withColumn("path", F.col("_metadata.file_path")), "path").filter("entries > 0")
+    written = entries.sparkSession.read.parquet(path).withColumn("path", F.col("_metadata.file_path"))
+    return written.groupBy("path").agg(F.count("*").alias("entries"), F.sum("size").alias("data_size"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"))

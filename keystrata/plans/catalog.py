@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import scalar
+from keystrata.functions import codec, scalar
 from keystrata.operators import compaction, manifest_fold, mutations, prune, resolve, runs
-from keystrata.sources.tables import conversation_log, document_log, order_log, primary_log, run_level, table
+from keystrata.sources.shared import session_folder
+from keystrata.sources.tables import as_log, conversation_log, document_log, order_log, primary_log, run_level, table
+from keystrata.store import Config, Store
+from keystrata.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +23,11 @@ FLUSHED = 750
 #: The level-1 size limit of the compaction queries; the production one is in functions.scalar.
 PICK_LIMIT = 50_000
 LEVEL0_THRESHOLD = 4
-FLUSH_KEYS = 5
+FLUSH_KEYS, FLUSH_BYTES = 5, 130
 WRITERS = 16
+#: A small filter, so that it has false answers, and a small file.
+FILTER = (1024, 4)
+ROLL_AT = 1 << 16
 
 
 def query(f: Query) -> Query:
@@ -107,8 +114,6 @@ def q_scan_sorted(spark, d):
 
 
 def _by_run():
-    from pyspark.sql import Window
-
     return Window.partitionBy("run_id").orderBy("key", "seq")
 
 
@@ -142,7 +147,7 @@ def q_max_seq(spark, d):
 @query
 def q_flush_runs(spark, d):
     log = primary_log(spark, d).withColumn("writer", F.decode("key", "UTF-8").cast("bigint") % WRITERS)
-    return runs.flush_ids(log, FLUSH_KEYS, "writer")
+    return runs.flush_ids(log, FLUSH_KEYS, "writer", FLUSH_BYTES)
 
 
 @query
@@ -178,7 +183,8 @@ def q_fence_prune(spark, d):
 
 @query
 def q_bloom_candidates(spark, d):
-    return text(prune.members(prune.fence(_asked(spark, d), _runs(spark, d)), primary_log(spark, d)))
+    """What the fences and each run's Bloom filter leave, false answers among it."""
+    return text(prune.might_contain(prune.fence(_asked(spark, d), _runs(spark, d)), prune.bloom_filters(primary_log(spark, d), *FILTER), *FILTER))
 
 
 def _blocks(spark, d) -> DataFrame:
@@ -191,10 +197,24 @@ def q_block_assign(spark, d):
     return text(_blocks(spark, d).select("run_id", "key", "block_id"))
 
 
+def _restarts(spark, d) -> DataFrame:
+    log = order_log(spark, d).withColumn("run_id", F.floor((F.col("seq") - 1) / 1000).cast("bigint"))
+    return runs.restart_flags(runs.block_ids(log, F.octet_length("key")))
+
+
 @query
 def q_restart_points(spark, d):
-    log = order_log(spark, d).withColumn("run_id", F.floor((F.col("seq") - 1) / 1000).cast("bigint"))
-    return text(runs.restart_flags(runs.block_ids(log, F.octet_length("key"))).select("run_id", "key", "block_id", "restart"))
+    return text(_restarts(spark, d).select("run_id", "key", "block_id", "restart"))
+
+
+@query
+def q_restart_search(spark, d):
+    """Keys that are there, and odd ones with a letter more, which are not."""
+    n = F.col("s_suppkey") * 7
+    key = F.concat(F.lpad(n.cast("string"), 12, "0"), F.when(F.col("s_suppkey") % 2 == 1, "x").otherwise(""))
+    asked = table(spark, d, "supplier").select(F.encode(key, "UTF-8").alias("key"), F.floor(n / 1000).cast("bigint").alias("run_id"))
+    blocks = _restarts(spark, d)
+    return text(prune.restart_search(prune.seek(asked, prune.block_index(blocks)), blocks))
 
 
 @query
@@ -205,7 +225,8 @@ def q_block_seek(spark, d):
 
 @query
 def q_file_roll(spark, d):
-    return text(runs.file_ids(document_log(spark, d), scalar.record_size(), 0).select("key", "file_id"))
+    log = document_log(spark, d).withColumn("writer", F.floor((F.col("seq") - 1) / 500).cast("bigint"))
+    return text(runs.file_ids(log, scalar.record_size(), ROLL_AT, "writer").select("writer", "key", "file_id"))
 
 
 @query
@@ -317,15 +338,54 @@ def q_key_scan(spark, d):
 
 @query
 def q_key_order(spark, d):
-    from pyspark.sql import Window
+    """Signed numbers as keys: their unsigned byte order is the order of the numbers."""
+    keys = table(spark, d, "orders").select((F.col("o_orderkey") - 100).alias("n")).select("n", codec.ordered_long_key("n").alias("key"))
+    return mutations.sequenced(keys, 0, ["key"]).select("n", F.hex("key").alias("key_hex"), F.col("seq").alias("rank"))
+
 
-    keys = spark.createDataFrame([(bytearray(bytes.fromhex(h)),) for h in KEY_ORDER_HEX], "key binary")
-    return keys.select(F.hex("key").alias("key_hex"), F.row_number().over(Window.orderBy("key")).cast("bigint").alias("rank"))
+@query
+def q_checksum(spark, d):
+    """Every seventh record is damaged after its checksum was stored, and is dropped."""
+    log = primary_log(spark, d).withColumn("crc", scalar.checksum())
+    value = F.when(F.col("seq") % 7 == 0, F.concat(F.coalesce("value", F.lit(b"")), F.lit(b"?"))).otherwise(F.col("value"))
+    return text(log.withColumn("value", value).filter(scalar.intact("crc")).select("key", "seq"))
 
 
-KEY_ORDER_HEX = ["", "00", "0000", "61", "6100", "6161", "7F", "80", "FF", "FF00", "7F80"]
+def _store(spark, **config) -> Config:
+    """A new store in the shared folder; the log of single writes is the driver's own."""
+    return Config(session_folder(spark), wal_dir=tempfile.mkdtemp(), **config)
 
 
 @query
-def q_checksum(spark, d):
-    return text(primary_log(spark, d).select("key", "seq", scalar.checksum().alias("crc")))
+def q_store_live(spark, d):
+    """The primary log in four batches, compacted after each second one."""
+    log = primary_log(spark, d).select("key", "seq", "tombstone", "value")
+    with Store(spark, _store(spark, level0_threshold=2)) as s:
+        for k in range(4):
+            s.commit_entries(log.filter(F.col("seq") % 4 == k))
+            s.compact()
+        return text(s.live())
+
+
+@query
+def q_store_recovery(spark, d):
+    """Single writes before and after a batch, found again after the store was reopened."""
+    batch = table(spark, d, "supplier").select(codec.text_key("s_suppkey").alias("key"), F.lit(False).alias("tombstone"), F.encode("s_name", "UTF-8").alias("value"))
+    config = _store(spark)
+    with Store(spark, config) as s:
+        s.put(b"first", b"1")
+        s.put(b"5", b"older than the batch")
+        s.write(batch)
+        s.put(b"2", b"new")
+        s.delete(b"3")
+    with Store(spark, config) as s:
+        return text(s.live().select("key", "value"))
+
+
+@query
+def q_stream_live(spark, d):
+    """The primary log as a stream into a store."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    with Store(spark, _store(spark)) as s:
+        ingest(as_log(events).select("key", "seq", "tombstone", "value"), s, "events", session_folder(spark), ["seq"], compact_every=4).awaitTermination()
+        return text(s.live())

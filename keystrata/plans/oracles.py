@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.plans.catalog import FLUSH_KEYS, FLUSHED, KEY_ORDER_HEX, LEVEL0_THRESHOLD, PICK_LIMIT, WRITERS
+from keystrata.plans.catalog import FILTER, FLUSH_BYTES, FLUSH_KEYS, FLUSHED, LEVEL0_THRESHOLD, PICK_LIMIT, ROLL_AT, WRITERS
 from keystrata.sources.tables import RUN_ROWS
 
 LOG = f"""L AS (
@@ -44,8 +44,22 @@ SNAP = """(SELECT run_id, last_commit AS commit_id FROM (
   SELECT run_id, op, max(commit_id) OVER (PARTITION BY run_id) AS last_commit,
          row_number() OVER (PARTITION BY run_id ORDER BY commit_id DESC, pos DESC) AS rn FROM M) WHERE rn = 1 AND op = 'add')"""
 DOC = "D AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS key, doc_id + 1 AS seq, text AS value, doc_id // 100 AS run_id FROM documents)"
-BLOCKS = f"""{DOC}, B AS (
-  SELECT run_id, key, CAST(coalesce(sum({SIZE} + 4) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS BIGINT) AS block_id FROM D)"""
+
+
+def rolled(source: str, by: str, number: str, full: str) -> str:
+    """The fold that counts up before a record with which the written bytes are full."""
+    return f"""N AS (SELECT *, CAST({SIZE} + 4 AS BIGINT) AS size, row_number() OVER (PARTITION BY {by} ORDER BY key, seq) AS rn FROM {source}),
+  Y AS (SELECT {by}, key, rn, size AS written, CAST(0 AS BIGINT) AS {number} FROM N WHERE rn = 1
+    UNION ALL SELECT n.{by}, n.key, n.rn, CASE WHEN {full} THEN n.size ELSE y.written + n.size END, CASE WHEN {full} THEN y.{number} + 1 ELSE y.{number} END
+    FROM Y y JOIN N n ON n.{by} = y.{by} AND n.rn = y.rn + 1)"""
+
+
+BLOCKS = f"""{DOC}, {rolled("D", "run_id", "block_id", "y.written + n.size > 4096")}, B AS (SELECT run_id, key, block_id FROM Y)"""
+# keys of twelve bytes: 341 of them fill a block
+RESTARTS = """D AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key, o_orderkey // 1000 AS run_id FROM orders),
+  B AS (SELECT run_id, key, (row_number() OVER (PARTITION BY run_id ORDER BY key) - 1) // 341 AS block_id FROM D),
+  T AS (SELECT *, (row_number() OVER (PARTITION BY run_id, block_id ORDER BY key) - 1) % 16 = 0 AS restart FROM B)"""
+BITS = " ".join(f"UNION ALL SELECT *, ('0x' || substr(md5(key), 1, 8))::BIGINT + ('0x' || substr(md5(key), 9, 8))::BIGINT * {i} AS h FROM X" for i in range(FILTER[1])).removeprefix("UNION ALL ")
 
 
 def deletes(step: int) -> str:
@@ -70,13 +84,15 @@ ORACLES = {
     "q_wal_replay": f"WITH {LOG} SELECT * FROM {latest('L')}",
     "q_max_seq": f"WITH {LOG} SELECT coalesce(max(seq), 0) AS max_seq FROM L",
     "q_flush_runs": f"""WITH RECURSIVE {LOG}, M AS (
-        SELECT CAST(key AS BIGINT) % {WRITERS} AS writer, key, seq, row_number() OVER (PARTITION BY CAST(key AS BIGINT) % {WRITERS} ORDER BY seq) AS rn FROM L),
+        SELECT CAST(key AS BIGINT) % {WRITERS} AS writer, key, seq, {SIZE} AS size, row_number() OVER (PARTITION BY CAST(key AS BIGINT) % {WRITERS} ORDER BY seq) AS rn FROM L),
       Z AS (
-        SELECT writer, rn, seq, CAST(0 AS BIGINT) AS flush_id, [key] AS seen FROM M WHERE rn = 1
+        SELECT writer, rn, seq, CAST(0 AS BIGINT) AS flush_id, [key] AS seen, [size] AS sizes FROM M WHERE rn = 1
         UNION ALL
-        SELECT m.writer, m.rn, m.seq, CASE WHEN len(z.seen) >= {FLUSH_KEYS} THEN z.flush_id + 1 ELSE z.flush_id END,
-               CASE WHEN len(z.seen) >= {FLUSH_KEYS} THEN [m.key] WHEN list_contains(z.seen, m.key) THEN z.seen ELSE list_append(z.seen, m.key) END
-        FROM Z z JOIN M m ON m.writer = z.writer AND m.rn = z.rn + 1)
+        SELECT writer, rn, seq, CASE WHEN is_full THEN flush_id + 1 ELSE flush_id END,
+          CASE WHEN is_full THEN [key] WHEN place > 0 THEN seen ELSE list_append(seen, key) END,
+          CASE WHEN is_full THEN [size] WHEN place > 0 THEN list_concat(list_concat(sizes[1:place - 1], [size]), sizes[place + 1:]) ELSE list_append(sizes, size) END
+        FROM (SELECT m.*, z.flush_id, z.seen, z.sizes, len(z.seen) >= {FLUSH_KEYS} OR list_sum(z.sizes) >= {FLUSH_BYTES} AS is_full, coalesce(list_position(z.seen, m.key), 0) AS place
+              FROM Z z JOIN M m ON m.writer = z.writer AND m.rn = z.rn + 1))
       SELECT writer, seq, flush_id FROM Z""",
     "q_run_props": f"WITH {RUNS} SELECT run_id, entries, data_size, min_key, max_key, max_seq FROM R",
     "q_level_files": f"WITH {RUNS} SELECT level, count(*) AS files FROM R GROUP BY level",
@@ -86,15 +102,22 @@ ORACLES = {
         CAST(CASE level WHEN 1 THEN 10 WHEN 2 THEN 100 WHEN 3 THEN 1000 WHEN 4 THEN 10000 ELSE 100000 END AS BIGINT) * 1048576 AS level_limit,
         CAST(CASE level WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 20 WHEN 3 THEN 200 WHEN 4 THEN 2000 ELSE 200000 END AS BIGINT) * 1048576 AS file_target FROM R GROUP BY level""",
     "q_fence_prune": f"WITH {RUNS}, {ASKED} SELECT q.key, r.run_id FROM Q q JOIN R r ON q.key BETWEEN r.min_key AND r.max_key",
-    "q_bloom_candidates": f"WITH {LOG}, {ASKED} SELECT DISTINCT key, run_id FROM Q JOIN L USING (key)",
-    "q_block_assign": f"WITH {BLOCKS} SELECT run_id, key, block_id FROM B",
-    "q_restart_points": """WITH D AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS key, o_orderkey // 1000 AS run_id FROM orders),
-      B AS (SELECT run_id, key, CAST(coalesce(sum(strlen(key)) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4096 AS BIGINT) AS block_id FROM D)
-      SELECT *, (row_number() OVER (PARTITION BY run_id, block_id ORDER BY key) - 1) % 16 = 0 AS restart FROM B""",
-    "q_block_seek": f"""WITH {BLOCKS}, X AS (SELECT run_id, block_id, max(key) AS last_key FROM B GROUP BY ALL),
+    "q_bloom_candidates": f"""WITH {RUNS}, {ASKED}, F AS (SELECT DISTINCT run_id, h % {FILTER[0]} AS place FROM (WITH X AS (SELECT DISTINCT run_id, key FROM L) {BITS})),
+      C AS (SELECT q.key, r.run_id FROM Q q JOIN R r ON q.key BETWEEN r.min_key AND r.max_key),
+      P AS (SELECT key, run_id, h % {FILTER[0]} AS place FROM (WITH X AS (SELECT * FROM C) {BITS}))
+      SELECT p.key, p.run_id FROM P p LEFT JOIN F f ON f.run_id = p.run_id AND f.place = p.place GROUP BY ALL HAVING count(f.place) = count(*)""",
+    "q_block_assign": f"WITH RECURSIVE {BLOCKS} SELECT run_id, key, block_id FROM B",
+    "q_restart_points": f"WITH {RESTARTS} SELECT run_id, key, block_id, restart FROM T",
+    "q_restart_search": f"""WITH {RESTARTS}, X AS (SELECT run_id, block_id, max(key) AS last_key FROM B GROUP BY ALL),
+      A AS (SELECT lpad(CAST(s_suppkey * 7 AS VARCHAR), 12, '0') || CASE WHEN s_suppkey % 2 = 1 THEN 'x' ELSE '' END AS key, s_suppkey * 7 // 1000 AS run_id FROM supplier),
+      S AS (SELECT a.key, a.run_id, min(x.block_id) AS block_id FROM A a JOIN X x ON a.run_id = x.run_id AND x.last_key >= a.key GROUP BY ALL)
+      SELECT s.*, (SELECT max(t.key) FROM T t WHERE t.restart AND t.run_id = s.run_id AND t.block_id = s.block_id AND t.key <= s.key) AS point,
+        EXISTS (SELECT 1 FROM B b WHERE b.run_id = s.run_id AND b.block_id = s.block_id AND b.key = s.key) AS found FROM S s""",
+    "q_block_seek": f"""WITH RECURSIVE {BLOCKS}, X AS (SELECT run_id, block_id, max(key) AS last_key FROM B GROUP BY ALL),
       A AS (SELECT lpad(CAST(s_suppkey * 7 AS VARCHAR), 12, '0') AS key, CAST(floor(s_suppkey * 7 / 100) AS BIGINT) AS run_id FROM supplier)
       SELECT a.key, a.run_id, min(x.block_id) AS block_id FROM A a JOIN X x ON a.run_id = x.run_id AND x.last_key >= a.key GROUP BY ALL""",
-    "q_file_roll": f"""WITH {DOC} SELECT key, CAST(floor(coalesce(CAST(sum({SIZE} + 4) OVER (ORDER BY key, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) * 1.2::DOUBLE / 2097152) AS BIGINT) AS file_id FROM D""",
+    "q_file_roll": f"""WITH RECURSIVE {DOC}, E AS (SELECT *, (seq - 1) // 500 AS writer FROM D),
+      {rolled("E", "writer", "file_id", f"CAST(floor(y.written * 1.2::DOUBLE) AS BIGINT) + n.size > {ROLL_AT}")} SELECT writer, key, file_id FROM Y""",
     "q_composite_key": "SELECT concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS key, strlen(concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))) + coalesce(strlen(text), 0) AS bytes FROM conversations",
     "q_overlap_join": f"WITH {RUNS} SELECT a.run_id, b.run_id AS other_id FROM R a JOIN R b ON a.run_id < b.run_id AND a.min_key <= b.max_key AND a.max_key >= b.min_key",
     "q_overlap_score": f"WITH {SCORE} SELECT * FROM S",
@@ -117,5 +140,10 @@ ORACLES = {
     "q_version_history": f"WITH {LOG} SELECT key, seq, lag(seq) OVER w AS prev_seq, lead(seq) OVER w AS next_seq FROM L WINDOW w AS (PARTITION BY key ORDER BY seq)",
     "q_as_of": f"WITH {LOG} SELECT key, value, seq FROM {latest('L', f'WHERE seq <= {FLUSHED}')} WHERE NOT tombstone",
     "q_key_scan": f"WITH {LOG} SELECT key, value, seq FROM {latest('L')} WHERE NOT tombstone AND key >= '1' AND key < '3'",
-    "q_key_order": "SELECT h AS key_hex, row_number() OVER (ORDER BY unhex(h)) AS rank FROM (VALUES " + ", ".join(f"('{h}')" for h in KEY_ORDER_HEX) + ") t(h)",
+    "q_key_order": """SELECT o_orderkey - 100 AS n, lpad(hex(CAST(CAST(o_orderkey - 100 AS HUGEINT) + 9223372036854775808 AS UBIGINT)), 16, '0') AS key_hex,
+      row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders""",
+    "q_checksum": f"WITH {LOG} SELECT key, seq FROM L WHERE seq % 7 <> 0",
+    "q_store_live": f"WITH {LOG} SELECT key, value, seq FROM {latest('L')} WHERE NOT tombstone",
+    "q_store_recovery": "SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey = 2 THEN 'new' ELSE s_name END AS value FROM supplier WHERE s_suppkey <> 3 UNION ALL SELECT 'first', '1'",
+    "q_stream_live": f"WITH {LOG} SELECT key, value, seq FROM {latest('L')} WHERE NOT tombstone",
 }

@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def primary_log(spark: SparkSession, sf_dir: str, run_rows: int = RUN_ROWS) -> DataFrame:
-    """`events` as puts and deletes per user: an error deletes, anything else puts its props."""
+    """`events` as a log."""
+    return as_log(table(spark, sf_dir, "events"), run_rows)
+
+
+def as_log(events: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Events as puts and deletes per user: an error deletes, anything else puts its props."""
     dead = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         text_key("user_id").alias("key"),
         (F.col("event_id") + 1).alias("seq"),
         dead.alias("tombstone"),

@@ -3,7 +3,10 @@
 Data live in Parquet runs listed by the manifest; runs are never changed in place. Single
 writes are buffered on the driver up to `memtable_entries` or `memtable_bytes` (both bounds
 that the configuration sets) and logged before they count; batches of any size go straight
-to a run. One writer at a time holds the lock.
+to a run, after the buffer, so that the sequence that a commit says it reached covers all
+that was acknowledged before. One writer at a time holds the lock, which is a file lock of
+the log's machine; of two drivers elsewhere the second one to commit gets an error, as a
+commit's name can be taken only once.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from keystrata.functions.scalar import entry_size, level_limit_of
 from keystrata.operators import compaction, resolve
 from keystrata.operators.mutations import sequenced
 from keystrata.operators.runs import write_run_files
-from keystrata.schema import ENTRY_SCHEMA, RUN_SCHEMA
+from keystrata.schema import ENTRY_SCHEMA, RUN_SCHEMA, conform
 from keystrata.sources.manifest_files import Files, Manifest
 from keystrata.sources.wal import Wal
 
@@ -43,6 +47,11 @@ class Config:
             raise ValueError("limits have to be 1 or more")
 
 
+def _size(entry: tuple[bytes, tuple[int, bool, bytes | None]]) -> int:
+    key, (_, _, value) = entry
+    return len(key) + len(value or b"")
+
+
 class StoreLocked(RuntimeError):
     """Another store object holds the folder."""
 
@@ -73,6 +82,8 @@ class Store:
             if seq > self.manifest.max_seq:
                 self.buffer[key] = (seq, dead, value)
         self.seq = max([self.manifest.max_seq, *[s for s, _, _ in self.buffer.values()]])
+        self.buffered = sum(map(_size, self.buffer.items()))
+        self._kept: DataFrame | None = None
         self.open = True
 
     def __enter__(self) -> Store:
@@ -103,9 +114,11 @@ class Store:
             self._guard()
             self.wal.append(key, self.seq + 1, dead, value)
             self.seq += 1
+            if key in self.buffer:
+                self.buffered -= _size((key, self.buffer[key]))
             self.buffer[key] = (self.seq, dead, value)
-            size = sum(len(k) + len(v[2] or b"") for k, v in self.buffer.items()) if len(self.buffer) % 16 == 0 or len(value or b"") > 4096 else 0
-            if len(self.buffer) >= self.config.memtable_entries or size >= self.config.memtable_bytes:
+            self.buffered += _size((key, self.buffer[key]))
+            if len(self.buffer) >= self.config.memtable_entries or self.buffered >= self.config.memtable_bytes:
                 self.flush()
 
     def write(self, batch: DataFrame, order: list[str] | None = None) -> int:
@@ -121,22 +134,31 @@ class Store:
             return self.commit_entries(rows)
 
     def commit_entries(self, entries: DataFrame, stream: str | None = None, batch_id: int | None = None) -> int:
-        """Entries with their sequences become level-0 runs in one commit."""
+        """Entries with their sequences become level-0 runs in one commit, after the buffer."""
         with self._mutex:
             self._guard()
-            add = self._write_runs(resolve.latest(entries), 0)
-            reached = max([self.seq, *[r["max_seq"] for r in add]])
-            self.manifest.commit(add, [], reached, stream, batch_id)
-            self.seq = max(self.seq, reached)
-            return self.seq
-
-    def _write_runs(self, entries: DataFrame, level: int) -> list[dict[str, Any]]:
-        """Two passes over the entries: their sum of bytes sets the number of files."""
+            self.flush()
+            return self._commit(conform(entries), stream, batch_id)
+
+    def _commit(self, entries: DataFrame, stream: str | None = None, batch_id: int | None = None) -> int:
+        """The entries as they come, before they are resolved, bound the size of the runs."""
         n, size = entries.agg(F.count("*"), F.coalesce(F.sum(entry_size()), F.lit(0))).first()
-        if not n:
+        add = self._write_runs(resolve.latest(entries), 0, n, size)
+        reached = max([self.seq, *[r["max_seq"] for r in add]])
+        self._changed(add, [], reached, stream, batch_id)
+        self.seq = reached
+        return self.seq
+
+    def _changed(self, *commit: Any) -> None:
+        self.manifest.commit(*commit)
+        self.uncache()
+
+    def _write_runs(self, entries: DataFrame, level: int, rows: int, size: int) -> list[dict[str, Any]]:
+        """One pass over the entries. rows and size may be upper bounds."""
+        if not rows:
             return []
         rel = f"runs/{level}-{uuid.uuid4().hex}"
-        props = write_run_files(entries.select(*ENTRY_SCHEMA.fieldNames()), self.files.path(rel).toString(), size, level, n).orderBy("min_key").collect()
+        props = write_run_files(entries.select(*ENTRY_SCHEMA.fieldNames()), self.files.path(rel).toString(), size, level, rows).orderBy("min_key").collect()
         return [
             {"run_id": self.manifest.next_run + i, "level": level, "entries": p.entries, "data_size": p.data_size, "min_key": p.min_key.hex(), "max_key": p.max_key.hex(), "max_seq": p.max_seq, "path": p.path}
             for i, p in enumerate(props)
@@ -147,8 +169,9 @@ class Store:
             self._guard()
             if not self.buffer:
                 return
-            self.commit_entries(self._tail())
+            self._commit(self._tail())
             self.buffer.clear()
+            self.buffered = 0
             self.wal.reset()
 
     # reads
@@ -166,12 +189,26 @@ class Store:
         with self._mutex:
             self._guard()
             runs = [r for r in self.manifest.runs.values() if (high is None or bytes.fromhex(r["min_key"]) <= high) and (low is None or bytes.fromhex(r["max_key"]) >= low)]
-            data = self._files(runs)
+            data = self._files(runs) if self._kept is None else self._kept
             return data.unionByName(self._tail()) if self.buffer else data
 
     def live(self) -> DataFrame:
         return resolve.live(self.log())
 
+    def cache(self) -> DataFrame:
+        """Keep the runs' latest versions in the executors' memory (and on their disks) for
+        live(), get and multi_get until the next commit or uncache()."""
+        with self._mutex:
+            self._guard()
+            if self._kept is None:
+                self._kept = resolve.latest(self._files(list(self.manifest.runs.values()))).persist(StorageLevel.MEMORY_AND_DISK)
+            return self._kept
+
+    def uncache(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
+
     def get(self, key: bytes) -> bytes | None:
         with self._mutex:
             self._guard()
@@ -200,15 +237,13 @@ class Store:
             self._guard()
             self.flush()
             done = 0
-            ids = {r.run_id for r in compaction.level0_inputs(self.runs(), self.config.level0_threshold).collect()}
-            if ids:
-                self._merge(ids, 1, purge_tombstones)
+            if self.level_files(0) >= self.config.level0_threshold:
+                self._merge({r.run_id for r in compaction.level0_inputs(self.runs(), self.config.level0_threshold).collect()}, 1, purge_tombstones)
                 done += 1
             level = 1
             while any(r["level"] >= level for r in self.manifest.runs.values()):
-                ids = {r.run_id for r in compaction.deeper_inputs(self.runs(), level, level_limit_of(level)).collect()}
-                if ids:
-                    self._merge(ids, level + 1, purge_tombstones)
+                if sum(r["data_size"] for r in self.manifest.runs.values() if r["level"] == level) >= level_limit_of(level):
+                    self._merge({r.run_id for r in compaction.deeper_inputs(self.runs(), level, level_limit_of(level)).collect()}, level + 1, purge_tombstones)
                     done += 1
                 level += 1
             return done
@@ -219,7 +254,7 @@ class Store:
         rest = [r for r in self.manifest.runs.values() if r["run_id"] not in ids and bytes.fromhex(r["min_key"]) <= high and bytes.fromhex(r["max_key"]) >= low]
         bottom = not rest
         out = compaction.merged(self._files(inputs), self._files(rest) if rest else None, purge and bottom)
-        self.manifest.commit(self._write_runs(out, target), sorted(ids), self.seq)
+        self._changed(self._write_runs(out, target, sum(r["entries"] for r in inputs), sum(r["data_size"] for r in inputs)), sorted(ids), self.seq)
 
     def vacuum(self) -> int:
         """Delete run folders that no committed run lies in. Call it when no reader of an
@@ -235,6 +270,7 @@ class Store:
     def close(self) -> None:
         with self._mutex:
             if self.open:
+                self.uncache()
                 self.open = False
                 self.wal.close()
                 self._lock.close()

@@ -31,8 +31,9 @@ def store_sink(store: Store, stream: str, order: list[str], compact_every: int =
     return sink
 
 
-def ingest(source: DataFrame, store: Store, stream: str, checkpoint: str, order: list[str], **trigger: object) -> StreamingQuery:
-    return source.writeStream.foreachBatch(store_sink(store, stream, order)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def ingest(source: DataFrame, store: Store, stream: str, checkpoint: str, order: list[str], compact_every: int = 0, **trigger: object) -> StreamingQuery:
+    """compact_every: compact after every so many batches; 0 for never."""
+    return source.writeStream.foreachBatch(store_sink(store, stream, order, compact_every)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest_stream(source: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keystrata.operators import resolve, runs
+from keystrata.operators import prune, resolve, runs
+from keystrata.operators.mutations import sequenced
 from keystrata.schema import ENTRY_SCHEMA, violations
 from keystrata.store import Config, Store, StoreLocked
 from keystrata.streaming.ingest import ingest, latest_stream
@@ -102,17 +104,18 @@ def test_batches_and_purge(spark, tmp_path):
         assert {bytes(r.key): r.found for r in s.multi_get(asked, 2).collect()} == {b"3": True, b"none": False}
 
 
-def test_flush_boundaries(spark):
+@pytest.mark.parametrize("most", [None, 25, 1000])
+def test_flush_boundaries(spark, most):
     r = random.Random(4)
-    rows = [(w, i, bytearray(b"%d" % r.randrange(12))) for i in range(200) for w in ("a", "b")]
-    got = {(x.w, x.seq): x.flush_id for x in runs.flush_ids(spark.createDataFrame(rows, "w string, seq bigint, key binary"), 5, "w").collect()}
+    rows = [(w, i, bytearray(b"%d" % r.randrange(12)), bytearray(r.randrange(12))) for i in range(200) for w in ("a", "b")]
+    got = {(x.w, x.seq): x.flush_id for x in runs.flush_ids(spark.createDataFrame(rows, "w string, seq bigint, key binary, value binary"), 5, "w", most).collect()}
     for w in "ab":
-        flush, seen = 0, set()
-        for _, i, k in sorted(x for x in rows if x[0] == w):
-            seen.add(bytes(k))
+        flush, seen = 0, {}
+        for _, i, k, v in sorted(x for x in rows if x[0] == w):
+            seen[bytes(k)] = len(k) + len(v)
             assert got[w, i] == flush
-            if len(seen) == 5:
-                flush, seen = flush + 1, set()
+            if len(seen) == 5 or (most and sum(seen.values()) >= most):
+                flush, seen = flush + 1, {}
 
 
 def test_stream(spark, tmp_path):
@@ -135,3 +138,79 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {bytes(r.key): bytes(r.value) for r in spark.table("newest").filter("NOT tombstone").collect()}
     assert got == want
+
+
+def test_nothing_is_lost_between_single_writes_and_batches(spark, tmp_path):
+    log = spark.createDataFrame([(bytearray(b"s"), 10, False, bytearray(b"streamed"))], ENTRY_SCHEMA)
+    path = str(tmp_path / "s")
+    with Store(spark, Config(path)) as s:
+        s.put(b"a", b"1")
+        s.commit_entries(log, "stream", 0)
+        s.put(b"b", b"2")
+        s.delete(b"a2")
+    with Store(spark, Config(path)) as s:
+        assert contents(s) == {b"a": b"1", b"s": b"streamed", b"b": b"2"} and s.get(b"a") == b"1" and s.seq == 12
+        with pytest.raises(ValueError):
+            s.commit_entries(log.drop("value"))
+
+
+def test_sequences_of_a_large_batch_have_no_gaps(spark, tmp_path):
+    """Enough rows, with a payload, for two samples of the same rows to differ."""
+    n = 2_000_000
+    rows = spark.range(n).select((F.xxhash64("id") % 1000).alias("ts"), "id", F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    out = sequenced(rows, 100, ["ts", "id"], blocks=16)
+    got = out.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()
+    assert tuple(got) == (n, n, 101, 100 + n)
+    at = out.select("seq", F.lead("seq").over(Window.partitionBy("ts").orderBy("id")).alias("following")).filter("following <> seq + 1")
+    assert at.count() == 0
+    batch = rows.limit(1_500_000).select(F.encode("payload", "UTF-8").alias("key"), F.lit(False).alias("tombstone"), F.encode(F.repeat("payload", 2), "UTF-8").alias("value"), "ts", "id")
+    with Store(spark, Config(str(tmp_path / "s"))) as s:
+        assert s.write(batch, ["ts", "id"]) == 1_500_000
+        assert tuple(s.log().agg(F.count_distinct("seq"), F.max("seq")).first()) == (1_500_000, 1_500_000)
+
+
+def test_a_cached_store_says_the_same(spark, tmp_path):
+    with Store(spark, Config(str(tmp_path / "s"), level0_threshold=2)) as s:
+        s.put(b"a", b"1")
+        s.flush()
+        s.cache()
+        s.put(b"b", b"2")
+        s.delete(b"a")
+        assert contents(s) == {b"b": b"2"} and s.get(b"a") is None
+        s.flush()
+        assert s._kept is None and contents(s) == {b"b": b"2"}
+
+
+def test_fences_without_a_broadcast(spark):
+    r = random.Random(3)
+    key = lambda: bytearray(r.randrange(256) for _ in range(r.randrange(4)))
+    ranges = [sorted((key(), key())) for _ in range(40)]
+    probes = {bytes(key()) for _ in range(60)}
+    of = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ranges)], "run_id bigint, min_key binary, max_key binary")
+    asked = spark.createDataFrame([(bytearray(k),) for k in probes], "key binary")
+    want = {(k, i) for k in probes for i, (a, b) in enumerate(ranges) if a <= k <= b}
+    for most in (1000, 3):
+        assert {(bytes(x.key), x.run_id) for x in prune.fence(asked, of, most).collect()} == want
+    filters = prune.bloom_filters(asked.withColumn("run_id", F.lit(1)))
+    assert filters.agg(F.max(F.octet_length("bitmap"))).first()[0] == 4096
+    both = asked.withColumn("run_id", F.lit(1)).unionByName(spark.createDataFrame([(bytearray(b"not there"), 1), (bytearray(b"a"), 2)], "key binary, run_id int"))
+    assert {bytes(x.key) for x in prune.might_contain(both, filters).collect()} == probes
+
+
+def test_blocks_and_files_roll_by_the_next_record(spark):
+    r = random.Random(5)
+    rows = [(w, bytearray(b"%04d" % i), i, r.choice([5, 40, 90, 300])) for w in (1, 2) for i in range(300)]
+    d = spark.createDataFrame(rows, "run_id bigint, key binary, seq bigint, size int").repartition(3)
+    blocks = {(x.run_id, x.seq): x.block_id for x in runs.block_ids(d, F.col("size"), 100).collect()}
+    files = {(x.run_id, x.seq): x.file_id for x in runs.file_ids(d, F.col("size"), 1000, "run_id").collect()}
+    for w in (1, 2):
+        block = file = in_block = in_file = 0
+        for v, _, i, size in rows:
+            if v != w:
+                continue
+            if in_block and in_block + size > 100:
+                block, in_block = block + 1, 0
+            if in_file and int(in_file * 1.2) + size > 1000:
+                file, in_file = file + 1, 0
+            in_block, in_file = in_block + size, in_file + size
+            assert (blocks[w, i], files[w, i]) == (block, file)
