@@ -1,7 +1,7 @@
 """A reproducible shuffle of all rows into shards, computed row by row.
 
 Rows get global numbers 0 to N-1 in an order that depends on their content only: by a
-bucket of doc_id, then doc_id, size and CRC. A Feistel network over Z_a x Z_b, with
+bucket of doc_id, size and CRC, so that a hot id is spread by its texts, then by these. A Feistel network over Z_a x Z_b, with
 a = ceil(sqrt N) and b = ceil(N / a), permutes the numbers; a value of N or more is put
 through it again until it falls below N (cycle walking). Shard and slot are remainder and
 quotient of the permuted number, so shards differ by one row at most and slots have no gaps:
@@ -26,7 +26,7 @@ from keystrata.llm.common import read
 
 SHARDS = 40
 #: Groups in which rows are numbered; also the most rows that are broadcast.
-BUCKETS = 4096
+BUCKETS = 1 << 16
 ROUNDS = 6
 P = 2**31 - 1
 KEYS = [(48271, 1013904223), (69621, 1664525), (16807, 374761393), (39373, 668265263), (40692, 1274126177), (40014, 2147483399)]
@@ -37,9 +37,10 @@ WALKS = 64
 RUN = 4096
 
 
-def bucket_of(column: str = "doc_id") -> Column:
-    v = F.coalesce(F.col(column), F.lit(0)) % P
-    return ((v + P) % P * 48271 % P % BUCKETS).cast("int")
+def bucket_of() -> Column:
+    v = F.coalesce(F.col("doc_id"), F.lit(0)) % P
+    mixed = ((v + P) % P * 48271 + F.col("size") % P * 16807 + F.col("text_crc32")) % P
+    return (mixed * 69621 % P % BUCKETS).cast("int")
 
 
 def _mix(v: str, k: int) -> str:
@@ -75,7 +76,7 @@ def numbered(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     groups = rows.groupBy(*keys).count().withColumn("_bucket", bucket_of())
     up_to = Window.partitionBy("_bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("_in", F.coalesce(F.sum("count").over(up_to), F.lit(0)))
-    sizes = docs.select(bucket_of().alias("_bucket")).groupBy("_bucket").count()
+    sizes = rows.select(bucket_of().alias("_bucket")).groupBy("_bucket").count()
     whole = Window.partitionBy()
     offsets = sizes.select("_bucket", F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("count").over(whole).alias("total"))
     placed = groups.join(F.broadcast(offsets), "_bucket")
