@@ -1,31 +1,32 @@
 """Mixing sources to target weights, by hash thresholds.
 
-Every document has a 60-bit hash of its id. A source whose target is k whole copies and a
+Every document has a 60-bit hash of its id and text. A source whose target is k whole copies and a
 rest takes each document k times, and once more the documents whose hash lies below the
 source's threshold, at which the rest is reached. Thresholds are nested: a smaller budget
 takes a subset. They come from histograms, not from a sort: sizes are summed by source and
 hash bucket, the bucket where the rest is reached is split into buckets of its own, and so
 on, five times twelve bits; each time only the rows of that one bucket are read again. The
 document at the boundary is taken if half of it fits, so a source misses its target by half
-a document at most (where several share an id, and so a hash, by half of them together).
+a document at most (where rows share id and text, and so a hash, by half of them together).
+The narrow table of sizes and hashes is written once, as each level reads it, and so is what
+each level leaves, a row for each source.
 
 Targets: sources by code point, null last, have the weights in turn and share the whole
 size; a target stops at `most` times its source's size, and the excess is shared by weight
 until none is above. With the sources in order of most * size / weight this has a closed
 form in running sums.
 
-Rows: a null or blank text has size 0 and nothing to take; a null source is a source; null
-ids hash alike; repeated rows are taken alike; an empty table gives an empty one. Extra
-columns are not read.
+Rows: a null or blank text has size 0 and nothing to take; a null source is a source; rows
+without an id are told apart by their texts; repeated rows are taken alike; an empty table
+gives an empty one. `mixed` keeps extra columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from keystrata.llm.common import read
+from keystrata.llm.common import Cut, read
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -36,7 +37,8 @@ BROADCAST_SOURCES = 100_000
 
 def sized(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, the extra columns, source, size, h and `sk`, a source key without nulls."""
-    h = F.conv(F.substring(F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "UTF-8")), 1, 15), 16, 10).cast("bigint")
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    h = F.conv(F.substring(F.md5(F.encode(name, "UTF-8")), 1, 15), 16, 10).cast("bigint")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
     return docs.select("doc_id", *extra, "source", size.alias("size"), h.alias("h"), key.alias("sk"))
@@ -71,10 +73,9 @@ def _near(df: DataFrame, small: bool) -> DataFrame:
 def taken(base: DataFrame, rows: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """sized() with source_size, target and `copies`, how often a document is taken.
 
-    base is kept, as each level reads it. rows: the same documents, sized with more columns,
-    to be returned instead.
+    rows: the same documents, sized with more columns, to be returned instead.
     """
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base, step = Cut(base.sparkSession)(base), Cut(base.sparkSession)
     sums = base.groupBy("sk").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     small = sums.count() <= BROADCAST_SOURCES
     goal = targets(sums, weights, most)
@@ -91,8 +92,7 @@ def taken(base: DataFrame, rows: DataFrame | None = None, weights: tuple[int, ..
         # the last bucket that begins within the budget holds its end
         edge = at.filter(F.col("before") <= F.col("rest")).groupBy("sk").agg(F.max(F.struct("bucket", "before", "s", "rest")).alias("x"))
         state = edge.select("sk", F.col("x.bucket").alias("prefix"), (F.col("x.rest") - F.col("x.before")).alias("rest"), F.col("x.s").alias("s"))
-        if k < LEVELS - 1:
-            state = state.drop("s")
+        state = step(state if k == LEVELS - 1 else state.drop("s"))
     limit = state.select("sk", (F.col("prefix") + F.when(F.col("s") / 2 <= F.col("rest"), 1).otherwise(0)).alias("threshold"))
     goal = goal.join(limit, "sk", "left")
     out = (base if rows is None else rows).join(_near(goal.select("sk", "source_size", "target", "whole", "threshold"), small), "sk")
@@ -101,10 +101,9 @@ def taken(base: DataFrame, rows: DataFrame | None = None, weights: tuple[int, ..
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it had."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "source")]
-    inner = docs.select("doc_id", "source", F.struct(*extra).alias("_row"), F.col("text") if "text" in docs.columns else F.lit(None).alias("text"))
-    out = taken(sized(docs), sized(inner, "_row"), weights, most).filter("copies > 0")
-    return out.withColumn("_n", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("doc_id", "source", "_row.*").select(*docs.columns)
+    inner = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = taken(sized(docs), sized(inner, "row"), weights, most).filter("copies > 0")
+    return out.select("row", F.explode(F.expr("sequence(1, cast(copies as int))"))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +114,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS s FROM base GROUP BY source),
 ranked AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, 3 * s AS cap FROM sums),
 -- the rounds of sharing: whoever is above its cap stops there, the others share what is left
