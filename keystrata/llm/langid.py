@@ -177,7 +177,8 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
     def expected(self, lang: str, w: str, times: int, out: dict[int, float]) -> None:
-        """Add the word's expected piece counts in a language."""
+        """Add the word's expected piece counts in a language: forward and backward, in
+        logarithms, as a long run of rare characters has no probability that a number holds."""
         i = self.langs.index(lang)
         n = len(w)
         edges: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
@@ -185,20 +186,22 @@ class Scorer:
             for k in range(max(0, j - self.longest), j):
                 t = self.text.get(w[k:j])
                 if t is not None:
-                    edges[j].append((k, self.p[i, t], t))
+                    edges[j].append((k, math.log(self.p[i, t]), t))
                 elif k == j - 1:
-                    edges[j].append((k, self.spelt(w[k])[i], -1))
-        f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+                    edges[j].append((k, sum(math.log(self.byte_p[x][i]) for x in w[k].encode()), -1))
+        f: list[float] = [0.0] + [-math.inf] * n
+        b: list[float] = [-math.inf] * n + [0.0]
         for j in range(1, n + 1):
-            f[j] = sum(f[k] * p for k, p, _ in edges[j])
+            f[j] = _sum([f[k] + p for k, p, _ in edges[j]])
+        back: list[list[float]] = [[] for _ in range(n)]
         for j in range(n, 0, -1):
+            if j < n:
+                b[j] = _sum(back[j])
             for k, p, _ in edges[j]:
-                b[k] += p * b[j]
-        if f[n] <= 0:
-            return
+                back[k].append(p + b[j])
         for j in range(1, n + 1):
             for k, p, t in edges[j]:
-                share = times * f[k] * p * b[j] / f[n]
+                share = times * math.exp(f[k] + p + b[j] - f[n])
                 if t >= 0:
                     out[t] += share
                 else:
@@ -206,6 +209,12 @@ class Scorer:
                         out[self.byte[x]] += share
 
 
+def _sum(logs: list[float]) -> float:
+    """The logarithm of a sum."""
+    most = max(logs)
+    return most + math.log(sum(math.exp(x - most) for x in logs))
+
+
 def held_out() -> Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
