@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from keystrata.llm import bpe, fingerprint, graph, near, simhash, suffix
+from keystrata.llm import bpe, fingerprint, graph, near, sharding, simhash, suffix, urls
 from keystrata.llm.registry import LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,6 +102,42 @@ def test_shards(spark, small, rows):
     assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in per.values())
 
 
+def test_shards_are_the_permuted_numbers(spark, small, rows):
+    """Numbers, Feistel rounds and cycle walking in plain Python."""
+    import math
+
+    p = sharding.P
+    said = [(i, len((x or "").encode()) + 16, zlib.crc32((x or "").encode())) for i, x, *_ in rows]
+    bucket = lambda i, size, crc: ((i or 0) % p * 48271 + size * 16807 + crc) % p * 69621 % p % sharding.BUCKETS
+    order = sorted(said, key=lambda r: (bucket(*r), r[0] is not None, r[0] or 0, r[1], r[2]))
+    n = len(order)
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def walked(v: int) -> int:
+        left, right = v % a, v // a
+        for k, (m, c) in enumerate(sharding.KEYS):
+            y = ((right if k % 2 == 0 else left) * m + c) % p
+            y = (y * y + c % 65537) % p
+            if k % 2 == 0:
+                left = (left + y) % a
+            else:
+                right = (right + y) % b
+        v = left + right * a
+        return v if v < n else walked(v)
+
+    want = Counter((*r, walked(k) % 40, walked(k) // 40) for k, r in enumerate(order))
+    got = LLM_QUERIES["op2_sharding"](spark, small).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_shards_are_written_in_slot_order(spark, small, rows, tmp_path):
+    sharding.write_shards(spark.read.parquet(f"{small}/documents.parquet"), str(tmp_path / "out"), 3)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((i, x) for i, x, *_ in rows)
+    assert sorted((r.shard, r.slot) for r in out) == [(k % 3, k // 3) for s in range(3) for k in range(s, len(rows), 3)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 1000, 5003])
 def test_permutation(spark, n):
     from keystrata.llm.sharding import permuted
@@ -166,6 +202,27 @@ def test_urls(spark, small):
     assert got[6][3] == "block" and got[7] == ("Ünï.com", "/fr/x", "com/fr/", "allow")
 
 
+def test_url_scores(spark):
+    """Long, empty and odd URLs against the sum in plain Python, and a held-out third of the labels."""
+    rows = [(1, "http://a.example/" + "x🙂é/" * 30_000), (2, "http://🙂🙂.example/\U0001f600?q"), (3, "http://a\nb/c\nd"), (4, "http:///"), (5, "http://h"), (6, ""), (7, None)]
+    bias, w = urls.model()
+    for r in urls.filtered(spark.createDataFrame(rows, "page_id bigint, url string")).collect():
+        marks = urls.buckets(urls.marked(r.host, r.path))
+        assert r.score == (bias * len(marks) + sum(w[k] for k in marks) if r.host or r.path else bias), r.page_id
+        assert r.rule or r.verdict == ("block" if r.score > 0 else "allow")
+    labels, right = urls.URL_LABELS, 0
+    for k in range(3):
+        urls.URL_LABELS = tuple(x for i, x in enumerate(labels) if i % 3 != k)
+        urls.model.cache_clear()
+        bias, w = urls.model()
+        for h, p, y in labels[k::3]:
+            marks = urls.buckets(urls.marked(h, p))
+            right += (bias * len(marks) + sum(w[m] for m in marks) > 0) == bool(y)
+    urls.URL_LABELS = labels
+    urls.model.cache_clear()
+    assert right / len(labels) > 0.85
+
+
 def test_substring(spark, small, rows):
     words = [WORD.findall(x or "") for _, x, *_ in rows]
     n = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
@@ -305,6 +362,75 @@ def test_language_rows(spark, small):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_is_the_sum_over_segmentations(spark, small, rows):
+    """Learning and predictions against enumeration, with few words to a text."""
+    import math
+
+    from keystrata.llm import langid
+
+    sp, letters = langid.processor(langid.vocabulary_path()), re.compile(r"[^\W\d_]+")
+    pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    byte = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+
+    def ways(w: str):
+        """Every segmentation as a list of lists of ids, one list for each piece."""
+        if not w:
+            yield []
+        for k in range(1, len(w) + 1):
+            first = [pieces[w[:k]]] if w[:k] in pieces else [byte[x] for x in w[0].encode()] if k == 1 else None
+            if first is not None:
+                for rest in ways(w[k:]):
+                    yield first + rest
+
+    docs = [(1, "the cat", "en"), (3, "der Hund", "de"), (4, "THE dog's", "en"), (5, "die katze", "de"), (6, "a 中é", "en"), (8, "of the", None), (9, None, "en"), (10, "12 %", "de"), (None, "x y", "fr")]
+    docs += [(20 + i, t, None) for i, t in enumerate(("the", "hund katze", "der dog", "中", "", "_1"))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    teach = [(t or "", x) for i, t, x in docs if i is not None and x and not held(i)]
+    counts = {x: Counter() for x in {x for _, x in teach}}
+    for t, x in teach:
+        for w in letters.findall(t.lower()):
+            counts[x].update(sp.encode(w))
+    counts = {x: c for x, c in counts.items() if c}
+    size = sp.get_piece_size()
+
+    def model(c):
+        return {x: [(c[x][i] + langid.SMOOTH) / (sum(c[x].values()) + langid.SMOOTH * size) for i in range(size)] for x in c}
+
+    p = model(counts)
+    new = {x: Counter() for x in counts}
+    for t, x in teach:
+        for w in letters.findall(t.lower()):
+            each = [(s, math.prod(p[x][i] for i in s)) for s in ways(langid.MARK + w)]
+            total = sum(q for _, q in each)
+            for s, q in each:
+                for i in s:
+                    new[x][i] += q / total
+    learned = langid.learn(spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(3))
+    assert {x: {i: round(n, 4) for i, n in enumerate(a) if n > 1e-5} for x, a in learned.items()} == {x: {i: round(n, 4) for i, n in c.items() if n > 1e-5} for x, c in new.items()}
+    p = model({x: Counter({i: n for i, n in enumerate(a)}) for x, a in learned.items()})
+    out = langid.predicted(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), learned).collect()
+    said = {i: t for i, t, _ in docs}
+    for r in out:
+        words = letters.findall((said[r.doc_id] or "").lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {x: sum(math.log(sum(math.prod(p[x][i] for i in s) for s in ways(langid.MARK + w))) for w in words) for x in p}
+        best = min(logs, key=lambda x: (-logs[x], x))
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-6
+
+
+def test_rare_characters_teach():
+    from keystrata.llm import langid
+
+    path = langid.vocabulary_path()
+    s, out = langid.Scorer(path, {"x": np.ones(langid.processor(path).get_piece_size()) * 1e6}), defaultdict(float)
+    s.p[:] = 1e-12
+    s.byte_p = [(1e-12,)] * 256
+    s.expected("x", "\U00012345" * 64, 2, out)
+    assert abs(sum(out.values()) - 2 * 4 * 64) < 1e-6
+
+
 def test_all_segmentations_are_summed():
     from keystrata.llm import langid
 
