@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from keystrata.llm import bpe, fingerprint, graph, near, sharding, simhash, suffix, urls
-from keystrata.llm.registry import LLM_QUERIES
+from keystrata.llm.registry import LLM_ORACLES, LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -30,6 +30,24 @@ def test_empty_tables(spark, empty, name):
     assert LLM_QUERIES[name](spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(LLM_ORACLES))
+@pytest.mark.parametrize("table", ["small", "given"])
+def test_same_as_sql(spark, small, name, table):
+    from compare import connect
+    from compare import same as same_rows
+
+    d = small if table == "small" else "/root/testdata/sf0.001"
+    if table == "given":
+        con = connect(d)
+    else:
+        import duckdb
+
+        con = duckdb.connect()
+        for t in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    same_rows(LLM_QUERIES[name](spark, d), con, LLM_ORACLES[name])
+
+
 def test_bpe_is_the_library(spark, small, rows):
     from tokenizers import Tokenizer
 
@@ -531,6 +549,8 @@ def test_crowded_near_groups(spark):
 def test_crowded_values_lose_no_pair(spark):
     import random
 
+    from pyspark.sql import functions as F
+
     r = random.Random(3)
     rows, want = [], set()
     for k in range(150):
@@ -539,8 +559,14 @@ def test_crowded_values_lose_no_pair(spark):
         two = [7 | 8 * (k % 2), *[x ^ sum(1 << b for b in r.sample(range(20), 2)) for x in one[1:]]]
         rows += [(2 * k, one), (2 * k + 1, two)]
         want.add((2 * k, 2 * k + 1))
-    got = {(x.a, x.b) for x in near.candidates(spark.createDataFrame(rows, "node bigint, segs array<int>")).collect()}
+    nodes = spark.createDataFrame([(i, i, x) for i, x in rows], "node bigint, comp bigint, segs array<int>")
+    got = {(x.a, x.b) for x in near.candidates(nodes).collect()}
     assert want <= got
+    # pairs of one component are left out, and no others
+    some = nodes.withColumn("comp", F.expr("CASE WHEN node % 4 < 2 THEN -1 ELSE node END"))
+    left = {(x.a, x.b) for x in near.candidates(some).collect()}
+    assert {p for p in want if p[0] % 4 >= 2} <= left and not any(a % 4 < 2 and b % 4 < 2 for a, b in left)
+    assert not near.candidates(nodes.withColumn("comp", F.lit(-1).cast("bigint"))).collect()
 
 
 def test_segments_grow_with_the_corpus():
