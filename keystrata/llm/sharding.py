@@ -99,3 +99,31 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS) -> None:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(read(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+
+
+def _feistel(source: str, value: str, keep: str) -> str:
+    """SQL for the Feistel image `v` of a value of a table that has a and b."""
+    out = f"SELECT {keep}, total, a, b, {value} % a AS l, {value} // a AS r FROM {source}"
+    for k in range(ROUNDS):
+        half, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        m, c = KEYS[k]
+        mixed = f"((({other} * {m} + {c}) % {P}) * (({other} * {m} + {c}) % {P}) + {c % 65537}) % {P}"
+        out = f"SELECT * REPLACE (({half} + {mixed}) % {size} AS {half}) FROM ({out})"
+    return f"SELECT {keep}, total, a, b, l + r * a AS v FROM ({out})"
+
+
+def oracle() -> str:
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    byte = "('0x' || substr(bytes, 2 * i - 1, 2))::BIGINT"
+    return f"""WITH RECURSIVE t AS (SELECT {table}::BIGINT[] AS t),
+given AS (SELECT doc_id, hex(coalesce(text, '')) AS bytes FROM documents),
+sized AS (SELECT doc_id, (length(bytes) // 2 + 16)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(bytes) // 2 + 1), lambda i: {byte})),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM given, t),
+grouped AS (SELECT *, ((coalesce(doc_id, 0) % {P} + {P}) % {P} * 48271 + size % {P} * 16807 + crc) % {P} * 69621 % {P} % {BUCKETS} AS bucket FROM sized),
+numbered AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, size, crc) - 1 AS row_no, count(*) OVER () AS total FROM grouped),
+shaped AS (SELECT row_no, total, ceil(sqrt(total))::BIGINT AS a, (total + ceil(sqrt(total))::BIGINT - 1) // ceil(sqrt(total))::BIGINT AS b FROM numbered),
+walk AS ({_feistel("shaped", "row_no", "row_no")} UNION ALL ({_feistel("(SELECT * FROM walk WHERE v >= total)", "v", "row_no")}))
+SELECT n.doc_id, n.size, n.crc AS text_crc32, 'rows' AS law, (v % {SHARDS})::INT AS shard, v // {SHARDS} AS slot, NULL::INT AS grown_shard, n.row_no
+FROM numbered n JOIN walk w ON w.row_no = n.row_no AND w.v < w.total"""

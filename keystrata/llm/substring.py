@@ -245,4 +245,16 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = removed(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "removal.*")
     # where nothing goes, the kept words still have single spaces between them
     kept = F.when(F.col("n_words") == F.col("n_removed"), "").otherwise(F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.array_join(words_of("text"), " ")))
-    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"), F.to_json("spans").alias("removed"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+windows AS (SELECT doc, pos, md5(array_to_string(words[pos:pos + {WINDOW - 1}], ' ')) AS name FROM (SELECT doc, words, unnest(range(1, len(words) - {WINDOW - 2})) AS pos FROM d)),
+again AS (SELECT doc, pos FROM (SELECT doc, pos, count(*) OVER (PARTITION BY name) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT w.*, max(CASE WHEN a.pos IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc ORDER BY w.pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN again a ON a.doc = w.doc AND a.pos = w.pos),
+kept AS (SELECT doc, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY doc)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc = d.doc"""

@@ -555,3 +555,15 @@ def removed(docs: DataFrame, hot: int = HOT, into: str = "removal") -> DataFrame
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = removed(read(spark, sf_dir).select("doc_id", "text")).select("doc_id", "removal.*")
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, hex(coalesce(text, '')) AS bytes FROM documents),
+b AS (SELECT doc, doc_id, pos, substr(bytes, 2 * pos - 1, 2) AS byte, CASE WHEN 2 * (pos + {WINDOW - 1}) <= length(bytes) THEN md5(substr(bytes, 2 * pos - 1, {2 * WINDOW})) END AS name
+  FROM (SELECT *, unnest(range(1, length(bytes) // 2 + 1)) AS pos FROM d)),
+again AS (SELECT doc, pos, byte, name IS NOT NULL AND coalesce(min(doc_id) OVER (PARTITION BY name) < doc_id, false) OR name IS NOT NULL AND doc_id IS NULL AND min(doc_id) OVER (PARTITION BY name) IS NOT NULL AS hit FROM b),
+marked AS (SELECT doc, pos, byte, max(hit::INT) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM again),
+runs AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc ORDER BY pos) AS before FROM marked),
+kept AS (SELECT doc, sum(gone)::BIGINT AS n_removed, sum((gone > before)::INT)::BIGINT AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM runs GROUP BY doc)
+SELECT doc_id, (length(bytes) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc = d.doc"""
