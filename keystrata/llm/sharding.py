@@ -26,7 +26,7 @@ from keystrata.llm.common import read
 
 SHARDS = 40
 #: Groups in which rows are numbered; also the most rows that are broadcast.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 ROUNDS = 6
 P = 2**31 - 1
 KEYS = [(48271, 1013904223), (69621, 1664525), (16807, 374761393), (39373, 668265263), (40692, 1274126177), (40014, 2147483399)]
