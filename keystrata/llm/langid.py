@@ -26,7 +26,10 @@ import struct
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,12 +44,14 @@ ROUNDS = 1
 BROADCAST_IDS = 100_000
 #: Added to every piece's count.
 SMOOTH = 0.05
-#: Prefixes that a worker remembers; twice as many are held.
-MEMO = 200_000
+#: Words that a worker remembers, besides those of the piece it works on.
+MEMO = 150_000
+#: Words that are worked out together.
+BLOCK = 20_000
+#: Longer words are worked out one by one.
 LONG = 24
 UNKNOWN = "und"
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -97,39 +102,60 @@ class Scorer:
         self.piece = {t: tuple(p[:, i].tolist()) for t, i in self.text.items()}
         self.byte_p = [tuple(p[:, i].tolist()) for i in self.byte]
         self.width = len(self.langs)
-        self.one = (1.0,) * self.width
-        self.prefix: dict[str, tuple[float, ...]] = {}
-        self.old: dict[str, tuple[float, ...]] = {}
+        #: Logarithms of words, eight bytes a language.
         self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
         self.pack = struct.Struct(f"<{self.width}d").pack
 
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """Finds every piece in a string."""
+        out = ahocorasick.Automaton()
+        for t, i in self.text.items():
+            out.add_word(t, (len(t) << 32) + i)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """Code points that are a piece."""
+        return np.array(sorted(ord(t) for t in self.text if len(t) == 1), np.uint32)
+
     def spelt(self, c: str) -> tuple[float, ...]:
-        out = self.one
+        out = (1.0,) * self.width
         for b in c.encode():
             out = tuple(a * x for a, x in zip(out, self.byte_p[b], strict=True))
         return out
 
-    def forward(self, w: str) -> tuple[float, ...]:
-        """The summed probability of a short string, by that of its prefixes."""
-        if not w:
-            return self.one
-        hit = self.prefix.get(w) or self.old.get(w)
-        if hit is None:
-            get, total = self.piece.get, None
-            if (p := get(w[-1])) is None:
-                p = self.spelt(w[-1])
-            total = [a * b for a, b in zip(self.forward(w[:-1]), p, strict=True)]
-            for k in range(max(0, len(w) - self.longest), len(w) - 1):
-                p = get(w[k:])
-                if p is not None:
-                    for i, a in enumerate(self.forward(w[:k])):
-                        total[i] += a * p[i]
-            hit = tuple(total)
-        if len(self.prefix) >= MEMO:
-            self.old, self.prefix = self.prefix, {}
-        self.prefix[w] = hit
-        return hit
+    def forward(self, words: list[str]) -> np.ndarray:
+        """The summed probabilities of short words, a row each: all words together, one end
+        after the other, from the pieces that end there."""
+        joined = "\n".join(words) + "\n"
+        sizes = np.array([len(w) for w in words], np.int64)
+        stops = np.cumsum(sizes + 1) - 1
+        starts = stops - sizes
+        found = np.fromiter(chain.from_iterable(self.matcher.iter(joined)), np.int64).reshape(-1, 2)
+        ends, length, piece = found[:, 0] + 1, found[:, 1] >> 32, found[:, 1] & 0xFFFFFFFF
+        # characters that are no piece are spelt in bytes
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        odd = np.flatnonzero(~np.isin(codes, self.letters) & (codes != 10))
+        table = self.p.T
+        if len(odd):
+            kinds, which = np.unique(codes[odd], return_inverse=True)
+            piece = np.concatenate([piece, len(table) + which])
+            ends, length = np.concatenate([ends, odd + 1]), np.concatenate([length, np.ones(len(odd), np.int64)])
+            table = np.concatenate([table, [self.spelt(chr(c)) for c in kinds.tolist()]])
+        word = np.repeat(np.arange(len(words)), sizes + 1)
+        at = ends - starts[word[ends - 1]]
+        order = np.lexsort((ends, at))
+        at, ends, length, piece = at[order], ends[order], length[order], piece[order]
+        alpha = np.zeros((len(joined) + 1, self.width))
+        alpha[starts] = 1
+        edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+        for x, z in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            e = ends[x:z]
+            first = np.flatnonzero(np.diff(e, prepend=-1))
+            alpha[e[first]] = np.add.reduceat(alpha[e - length[x:z]] * table[piece[x:z]], first)
+        return alpha[stops]
 
     def chain(self, w: str) -> list[float]:
         """forward() in logarithms, rescaled as it goes: for words of any length."""
@@ -153,26 +179,29 @@ class Scorer:
                         v[i] *= 1e100
         return [math.log(a) + s for a, s in zip(alpha[-1], shift, strict=True)]
 
-    def logs(self, w: str) -> bytes:
-        got = self.before.get(w)
-        if got is None:
-            marked = MARK + w
-            f = self.forward(marked) if len(marked) <= LONG else (0.0,)
-            got = self.pack(*(map(math.log, f) if min(f) > 1e-250 else self.chain(marked)))
-        if len(self.known) >= MEMO:
-            self.before, self.known = self.known, {}
-        if len(w) <= LONG:
-            self.known[w] = got
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        found = words(text)
-        if not found:
-            return UNKNOWN, 0.0
-        make = self.logs
-        total = np.frombuffer(b"".join([self.known.get(w) or make(w) for w in found]), "<f8").reshape(-1, self.width).sum(0)
+    def learn(self, words: set[str]) -> None:
+        """Work out the words that are not known; a full memo is emptied before."""
+        if len(self.known) > MEMO:
+            self.known.clear()
+        new = [w for w in words if w not in self.known and len(w) < LONG]
+        if not new:
+            return
+        f = np.concatenate([self.forward([MARK + w for w in new[at : at + BLOCK]]) for at in range(0, len(new), BLOCK)])
+        with np.errstate(divide="ignore"):
+            blob, size = np.log(f).astype("<f8").tobytes(), 8 * self.width
+        for i, w in enumerate(new):
+            self.known[w] = blob[size * i : size * (i + 1)]
+        for i in np.flatnonzero(f.min(axis=1) <= 1e-250).tolist():
+            self.known[new[i]] = self.pack(*self.chain(MARK + new[i]))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words(t) if t is not None and self.langs else [] for t in texts]
+        self.learn({w for ws in found for w in ws})
+        return [self.summed(ws) if ws else (UNKNOWN, 0.0) for ws in found]
+
+    def summed(self, found: list[str]) -> tuple[str, float]:
+        get = self.known.get
+        total = np.frombuffer(b"".join([get(w) or self.pack(*self.chain(MARK + w)) for w in found]), "<f8").reshape(-1, self.width).sum(0)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -292,7 +321,8 @@ def predicted(docs: DataFrame, counts: dict[str, np.ndarray], keep: tuple[str, .
             scorer = _scorers[name] = Scorer(path, model.value)
         for whole in batches:
             for b in pieces(whole, "text"):
-                out = [scorer.predict(t) if scorer else (UNKNOWN, 0.0) for t in b.column("text").to_pylist()]
+                given = b.column("text").to_pylist()
+                out = scorer.predict_all(given) if scorer else [(UNKNOWN, 0.0)] * len(given)
                 yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     given = docs.select(*keep, "text")

@@ -465,9 +465,13 @@ def test_all_segmentations_are_summed():
             out += total(w[:k], i) * p[i] if p else 0
         return out
 
-    for w in ("▁the", "▁eaü中", "▁tion"):
-        assert np.allclose(s.forward(w), [total(w, 0), total(w, 1)])
-        assert np.allclose(np.log(s.forward(w)), s.chain(w))
+    words = ["▁the", "▁eaü中", "▁tion", "▁🙂x", "▁"]
+    for w, f in zip(words, s.forward(words), strict=True):
+        assert np.allclose(f, [total(w, 0), total(w, 1)])
+        assert np.allclose(np.log(f), s.chain(w))
+    rare = "\U00012345" * 20
+    s.learn({rare, "the"})
+    assert np.allclose(np.frombuffer(s.known[rare]), s.chain("▁" + rare)) and np.isfinite(np.frombuffer(s.known[rare])).all()
 
 
 def brute_sketch(t: str) -> set[int]:
