@@ -11,6 +11,10 @@ A crowded table value (more than CROWD fingerprints under one segment value) is
 as it is: the other bits are cut into radius + 1 parts, one of which must agree as well, and
 that part joins the key. No pair is lost, and none is made twice.
 
+What a fingerprint asks for is some 33 rows, which the optimizer, going by the size of the
+files they come from, does not know of: it would broadcast them. These joins are by sorting,
+and fingerprints are broadcast up to a checked number of them only.
+
 Rows: a null or empty text has no words and the fingerprint zero, which links like any
 other; fewer words than a shingle form one shingle; null ids have a fingerprint, a component
 without any id has the component null. Repeated rows share their result. An empty table
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import Cut, pieces, read, texts
+from keystrata.llm.common import BROADCAST_KEYS, Cut, pieces, read, texts
 from keystrata.llm.graph import components
 
 RADIUS = 2
@@ -103,7 +107,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, c
     entered = table.join(crowded, ["seg", "value"], "left")
     once = (F.col("flip") != 0) | (F.col("fp") < F.col("other"))
     near = _distance() <= radius
-    light = asked.join(entered.filter("crowded IS NULL"), ["seg", "value"]).filter(once & near)
+    light = asked.join(entered.filter("crowded IS NULL").hint("merge"), ["seg", "value"]).filter(once & near)
     # a part of the bits outside the segment has to agree too
     rest = 64 - width
     cuts = [rest * i // (radius + 1) for i in range(radius + 2)]
@@ -115,7 +119,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, c
     some = asked.join(crowded, ["seg", "value"], "left_semi")
     left = some.withColumn("p", F.explode(outside("fp"))).select("seg", "value", "fp", "flip", "p.part", "p.bits")
     right = entered.filter("crowded").withColumn("p", F.explode(outside("other"))).select("seg", "value", "other", "p.part", "p.bits")
-    heavy = left.join(right, ["seg", "value", "part", "bits"]).filter(once & near)
+    heavy = left.join(right.hint("merge"), ["seg", "value", "part", "bits"]).filter(once & near)
     return light.select("fp", "other").unionByName(heavy.select("fp", "other"))
 
 
@@ -123,11 +127,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
     """doc_id, fp and component_id, the smallest id that links reach."""
     fps = Cut(docs.sparkSession)(fingerprints(docs, shingle))  # narrow, and read by several steps
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    small = lambda d: F.broadcast(d) if n <= BROADCAST_KEYS else d.hint("merge")
+    n = distinct.count()
     roots = components(links(distinct.select("fp"), radius).select(F.col("fp").alias("u"), F.col("other").alias("v")))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = distinct.join(small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = placed.join(smallest, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(small(of_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,14 @@ def test_links_are_all_pairs(spark, crowd):
     assert {(min(r), max(r)) for r in got} == want
 
 
+def test_simhash_asks_are_not_broadcast(spark, tmp_path):
+    # a file of some kB, of which the asks are some 33 times the rows
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "fp"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fp")))._jdf.queryExecution().sparkPlan().toString()
+    met = [x for x in plan.split("\n") if "bit_count" in x]
+    assert len(met) == 2 and all("SortMergeJoin" in x for x in met)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (5, 5), (300, 299), (299, 300)]
     got = dict(graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
