@@ -14,8 +14,9 @@ content:
    those that another document has.
 2. Stretches of windows with one such anchor are sent, as the bytes that they cover and the
    smallest id that has them in the chunk, to the anchor's bucket.
-3. A bucket lays its distinct stretches end to end and sorts their suffixes by prefix
-   doubling up to the window length. Suffixes that agree so far are an interval of the tree.
+3. A bucket lays its distinct stretches end to end and brings together the suffixes that
+   agree up to the window length, by hashes that are verified, or by prefix doubling should
+   one fail. They are an interval of the tree.
    One whose left neighbours are all the same byte holds no maximal repeat, nor does any
    interval inside it, and is left at that; so is one whose stretches all have one smallest
    id. The others are sorted to the ends of their stretches, and the stack scan over their
@@ -248,6 +249,8 @@ def ids_of(table: pa.Table) -> np.ndarray:
 ANSWERS = "chunk bigint, hashes binary, hot binary, names binary, first binary, last binary, least binary"
 #: Buckets of a partition, worked off one after the other.
 SPLIT = 4
+#: Runs of windows that are held against those who asked at once.
+RUNS = 1 << 18
 STRETCHES = "bucket int, chunk bigint, data binary, lengths binary, least binary"
 
 
@@ -269,20 +272,42 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def answer(chunks: np.ndarray, **columns: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row of ANSWERS for each chunk, all in one batch: there are as many rows as chunks
+    times buckets. columns: values, and the edges between rows."""
+    n, made = len(chunks), {"chunk": pa.array(chunks, pa.int64())}
+    for name in ("hashes", "hot", "names", "first", "last", "least"):
+        if name not in columns:
+            made[name] = pa.nulls(n, pa.binary())
+            continue
+        values, edges = columns[name]
+        data = np.ascontiguousarray(values).tobytes()
+        made[name] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data)])
+    return pa.RecordBatch.from_pydict(made)
+
+
+def told(chunks: np.ndarray, arrays: list[np.ndarray], hot: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket answers: of each chunk's sorted array what the bucket has twice."""
+    every, row = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), list(map(len, arrays)))
+    u, k = np.unique(every, return_counts=True)
+    known, crowded = u[k > 1], u[k > hot]
+    # an array is sorted; what it asks for twice is one answer
+    use = within(every, known)
+    use[1:] &= (every[1:] != every[:-1]) | (row[1:] != row[:-1])
+    hit, row = every[use], row[use]
+    full, at = np.unique(row, return_index=True)
+    is_hot = within(hit, crowded)
+    edges, hot_edges = np.append(at, len(hit)), np.concatenate([[0], np.cumsum(is_hot)])
+    if len(full):
+        yield answer(chunks[full], hashes=(hit, edges), hot=(hit[is_hot], hot_edges[edges]))
+
+
 def answered(asks: DataFrame, n: int, hot: int) -> DataFrame:
     """Of each asked array, the anchors that are asked for twice, and which of them are hot."""
 
     def run(batches):
         for b in by_bucket(batches):
-            yield from bucket(b.column("chunk").to_pylist(), [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()])
-
-    def bucket(chunks: list[int], arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        u, k = np.unique(np.concatenate(arrays), return_counts=True)
-        known, crowded = u[k > 1], u[k > hot]
-        for c, a in zip(chunks, arrays, strict=True):
-            hit = np.unique(a[within(a, known)])
-            if len(hit):
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "hashes": pa.array([hit.astype("<u8").tobytes()], pa.binary()), "hot": pa.array([hit[within(hit, crowded)].astype("<u8").tobytes()], pa.binary()), **{x: pa.nulls(1, pa.binary()) for x in ("names", "first", "last", "least")}})
+            yield from told(b.column("chunk").to_numpy(), [np.frombuffer(x, "<u8") for x in b.column("hashes").to_pylist()], hot)
 
     return asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 
@@ -321,6 +346,31 @@ def window_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[order], np.concatenate([[False], s[1:] == s[:-1]])[: len(s)]
 
 
+def repeated_windows(data: bytes, begins: np.ndarray, stops: np.ndarray, sums: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, place, size): the starts of the windows that two places or more of the stretches
+    have, those of one window together, the stretch of each, and how many each window has.
+    Hashes bring them together and bytes are compared; should two windows have one hash, all
+    are sorted by their bytes instead."""
+    count = stops - begins - WINDOW + 1
+    place = np.repeat(np.arange(len(begins), dtype=np.int32), count)
+    at = np.arange(len(place)) + np.repeat(begins - np.cumsum(count) + count, count)
+    h = (sums[at + WINDOW] - sums[at]) * inverse[at]
+    order = np.argsort(h)
+    h = h[order]
+    same = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
+    two = np.flatnonzero(same)
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, 0, (1,))
+    a, b = at[order[two]], at[order[two - 1]]
+    if not all((eight[a + k] == eight[b + k]).all() for k in (*range(0, WINDOW - 8, 8), WINDOW - 8)):
+        flat = np.frombuffer(data, np.uint8)
+        found, same = window_order(flat, np.repeat(stops, stops - begins))
+        # back to numbers of windows
+        order = found - (begins - np.cumsum(count) + count)[np.searchsorted(begins, found, side="right") - 1]
+    size = np.diff(np.append(np.flatnonzero(~same), len(order)))
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    return at[order], place[order], size
+
+
 def given(lcp: list[int], left: list[int], ids: list[int]) -> Iterator[tuple[int, int]]:
     """(suffix, length): the stack scan, with the smallest id of each interval. A suffix is
     given the longest repeat whose occurrences have a smaller id than its own; shorter ones
@@ -364,16 +414,13 @@ def given(lcp: list[int], left: list[int], ids: list[int]) -> Iterator[tuple[int
             stack.append([h, *node, []])
 
 
-def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def smaller_ids(data: bytes, begins: np.ndarray, stops: np.ndarray, own: np.ndarray, sums: np.ndarray | None = None, inverse: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, first, last) of the windows of stretches that repeat groups give to a smaller
     id than their stretch's own one; first and last count from its start."""
     flat = np.frombuffer(data, np.uint8)
-    at, same = window_order(flat, np.repeat(stops, stops - begins))
-    # depth-WINDOW intervals of two suffixes or more
-    size = np.diff(np.append(np.flatnonzero(~same), len(at)))
-    at = at[np.repeat(size > 1, size)]
-    place = np.repeat(np.arange(len(own), dtype=np.int32), stops - begins)[at]
-    size = size[size > 1]
+    if sums is None:
+        sums, inverse = sums_of(data), powers(INVERSE, len(data) + 1)
+    at, place, size = repeated_windows(data, begins, stops, sums, inverse)
     begin = np.cumsum(size) - size
     found: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
     if len(size):
@@ -424,7 +471,8 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
         del parts, index
         stops = np.cumsum(lengths)
         begins = stops - lengths
-        r_place, r_first, r_last = smaller_ids(data, begins, stops, own)
+        sums, inverse = sums_of(data), powers(INVERSE, len(data) + 1)
+        r_place, r_first, r_last = smaller_ids(data, begins, stops, own, sums, inverse)
         # an id below the stretch's own is below those of all who sent it, so the least one of
         # all may stand for it; and the stretch itself is a repeat of those who sent it
         r_id = np.full(len(r_place), -LAST_ID)
@@ -434,20 +482,23 @@ def least_ids(stretches: DataFrame, n: int) -> DataFrame:
         r_id = np.concatenate([own, r_id])
         by = np.argsort(r_place, kind="stable")
         r_place, r_first, r_last, r_id = r_place[by], r_first[by], r_last[by], r_id[by]
-        names = named(sums_of(data), powers(INVERSE, len(data) + 1), begins, stops - WINDOW)
+        names = named(sums, inverse, begins, stops - WINDOW)
         runs_of = np.searchsorted(r_place, np.arange(len(lengths) + 1))
         order = np.lexsort((which, chunk))
-        edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
-        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            mine = order[a:z]
-            count = runs_of[which[mine] + 1] - runs_of[which[mine]]
-            asked = np.repeat(mine, count)
-            first = np.repeat(runs_of[which[mine]], count)
-            run_at = first + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        count = runs_of[which[order] + 1] - runs_of[which[order]]
+        total = np.cumsum(count)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1], RUNS), side="right"))
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            mine, k = order[a:z], count[a:z]
+            asked = np.repeat(mine, k)
+            first = np.repeat(runs_of[which[mine]], k)
+            run_at = first + np.arange(len(first)) - np.repeat(np.cumsum(k) - k, k)
             use = r_id[run_at] < low[asked]
             if use.any():
                 q = run_at[use]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunk[mine[0]])], pa.int64()), "hashes": pa.nulls(1, pa.binary()), "hot": pa.nulls(1, pa.binary()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("names", names[r_place[q]].astype("<u8")), ("first", r_first[q].astype("<u2")), ("last", r_last[q].astype("<u2")), ("least", r_id[q].astype("<i8")))}})
+                full, at = np.unique(chunk[asked[use]], return_index=True)
+                edges = np.append(at, len(q))
+                yield answer(full, names=(names[r_place[q]].astype("<u8"), edges), first=(r_first[q].astype("<u2"), edges), last=(r_last[q].astype("<u2"), edges), least=(r_id[q].astype("<i8"), edges))
 
     return stretches.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
 

@@ -295,6 +295,37 @@ def test_long_texts_come_in_parts(spark, small, monkeypatch, size):
     assert seen == {(i, k) for i, t in enumerate(data) for k in range(len(t) - 49)}
 
 
+def test_a_bucket_answers_in_one_batch():
+    # rows are chunks times buckets, so none may cost a batch of its own
+    arrays = [np.array([c, 7000, 7000, 8000 + c // 2], "<u8") for c in range(500)]
+    out = list(suffix.told(np.arange(500) + 10, arrays, hot=600))
+    assert len(out) == 1
+    rows = out[0].to_pylist()
+    assert [r["chunk"] for r in rows] == list(range(10, 510))
+    assert all(np.frombuffer(r["hashes"], "<u8").tolist() == [7000, 8000 + c // 2] for c, r in enumerate(rows))
+    assert all(np.frombuffer(r["hot"], "<u8").tolist() == [7000] for r in rows)
+
+
+def test_windows_with_one_hash_are_told_apart():
+    import random
+
+    r = random.Random(5)
+    shared = bytes(r.randrange(256) for _ in range(70))
+    parts = [bytes(r.randrange(256) for _ in range(k)) + shared for k in (3, 40, 90)] + [bytes(60)]
+    data, stops = b"".join(parts), np.cumsum(list(map(len, parts)))
+    begins = stops - np.array(list(map(len, parts)))
+    sums, inverse = suffix.sums_of(data), suffix.powers(suffix.INVERSE, len(data) + 1)
+
+    def windows(inverse):
+        at, place, size = suffix.repeated_windows(data, begins, stops, sums, inverse)
+        assert all(begins[p] <= a and a + suffix.WINDOW <= stops[p] for a, p in zip(at, place, strict=True))
+        return {frozenset(g.tolist()) for g in np.split(at, np.cumsum(size)[:-1])}
+
+    want = {frozenset(int(stops[p]) - 70 + k for p in range(3)) for k in range(21)} | {frozenset(range(int(begins[3]), int(begins[3]) + 11))}
+    assert windows(inverse) == want
+    assert windows(inverse * np.uint64(0)) == want
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 8])
 def test_smaller_ids_are_all_found(alphabet):
     """The repeat groups of a bucket against every window of its stretches."""
