@@ -3,14 +3,13 @@ text and the raw corpus. DataFrame expressions only.
 
 The ratio. The n-grams of a document are its words, its pairs and its triples of words, each
 hashed to one of DIMENSIONS buckets. The raw multinomial counts the n-grams of every
-document; the target multinomial those of trusted ones: a sample of at most TRUSTED
-documents labelled good and not toxic, those with the smallest hash of their id, of which
-every other one in that order teaches. A document's score is the sum of log(target / raw)
-over its n-grams, divided by their number; logarithms are in whole 1/SCALE of a nat, so that
-sums are exact. The other half of the trusted sample, which the target has not seen, sets
-the threshold: as far below its LOW quantile as that lies below its median. So a corpus of
-any size, with as many trusted documents as it has, keeps what looks like them; the same rows give the same
-verdicts, one by one.
+document; the target multinomial those of trusted ones, all that are labelled good and not
+toxic, of which one half, by a hash of the id, teaches. A document's score is the sum of
+log(target / raw) over its n-grams, divided by their number; logarithms are in whole 1/SCALE
+of a nat, so that sums are exact. The other half of the trusted documents, which the target
+has not seen, sets the threshold: as far below its LOW quantile as that lies below its
+median, both exact. So a corpus of any size, with as many trusted documents as it has, keeps
+what looks like them; the same rows give the same verdicts, one by one.
 
 Repeated windows. The hashes of a document's 3-word windows are sorted with their positions
 packed below them (a document of n words spends log2 n of the 64 bits on positions). What
@@ -30,12 +29,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import read
+from keystrata.llm.common import Cut, read
 
 DIMENSIONS = 1 << 14
-TRUSTED = 20_000
 SCALE = 4096
 LOW = 0.01
+#: So many scores are sorted by the driver; of more a histogram of BINS tells where to look.
+FEW, BINS = 10_000, 4096
 MIN_WORDS = 50
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -49,9 +49,9 @@ def words_of(text: str) -> Column:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """doc_id and teaches, of the trusted sample: at most TRUSTED rows."""
+    """doc_id and teaches, of all trusted documents."""
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).filter("good AND doc_id IS NOT NULL")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select("doc_id", (F.xxhash64(F.lit(7), "doc_id") % 2 == 0).alias("teaches"))
+    return good.select("doc_id", (F.xxhash64(F.lit(7), "doc_id") % 2 == 0).alias("teaches"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
@@ -121,12 +121,36 @@ def _score() -> Column:
     return F.when(F.col("n_grams") > 0, F.col("total") / (SCALE * F.col("n_grams"))).otherwise(F.lit(0.0))
 
 
+def _ranked(scores: DataFrame, k: int) -> float:
+    """The score of rank k, from 0: histograms of ever narrower ranges, until few are left or all are one."""
+    n, low, high = scores.agg(F.count("*"), F.min("score"), F.max("score")).first()
+    while n > FEW and low < high:
+        bin_of = F.least(F.floor((F.col("score") - low) / F.lit((high - low) / BINS)), F.lit(BINS - 1))
+        for r in sorted(scores.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):
+            if k < r.n:
+                break
+            k -= r.n
+        n, low, high = r.n, r.low, r.high
+        scores = scores.filter(F.col("score").between(low, high))
+    return low if low == high else sorted(r.score for r in scores.collect())[k]
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """Exact, between two ranks in proportion, as percentile has it, but with no buffer of
+    all scores."""
+    at = share * (scores.count() - 1)
+    low, high = _ranked(scores, math.floor(at)), _ranked(scores, math.ceil(at))
+    return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
 def threshold(docs: DataFrame, trusted: DataFrame, table: Column) -> float:
     """By the trusted documents that did not teach and pass the base rules."""
     unseen = docs.select("doc_id", "text").join(F.broadcast(trusted.filter("NOT teaches").select("doc_id")), "doc_id", "left_semi")
-    # no filter, which would be pushed below the counts
-    seen = F.when(~F.col("base_failed"), _score())
-    low, middle = counted(unseen, table).agg(F.percentile(seen, F.array(F.lit(LOW), F.lit(0.5)))).first()[0] or (0.0, 0.0)
+    # no filter before the cut, which would be pushed below the counts
+    seen = Cut(docs.sparkSession)(counted(unseen, table).select(F.when(~F.col("base_failed"), _score()).alias("score"))).filter("score IS NOT NULL")
+    if not seen.limit(1).count():
+        return 0.0
+    low, middle = quantile(seen, LOW), quantile(seen, 0.5)
     return low - (middle - low)
 
 

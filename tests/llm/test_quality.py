@@ -101,3 +101,22 @@ def test_columns_with_names_of_the_inside_stay(spark):
     d = spark.createDataFrame([(1, text, "mine", "en", 3, 4, 5)], "doc_id bigint, text string, t string, bits string, words int, r int, kept int")
     x = quality.judged(d, spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")).first()
     assert (x.text, x.t, x.bits, x.words, x.r, x.kept, x.n_words) == (text, "mine", "en", 3, 4, True, 60)
+
+
+def test_all_trusted_documents_count(spark):
+    n = 25_000
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    t = quality._trusted(labels)
+    assert t.count() == n and 0.49 * n < t.filter("teaches").count() < 0.51 * n
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(quality, "FEW", 20)
+    monkeypatch.setattr(quality, "BINS", 4)
+    r = random.Random(2)
+    for xs in ([r.gauss(0, 1) for _ in range(501)] + [0.25] * 60, [1.5] * 90, [0.0] * 50 + [1e9] * 50, [3.0, 1.0], [2.0]):
+        d = spark.createDataFrame([(x,) for x in xs], "score double").repartition(3)
+        for share in (0.01, 0.5):
+            assert math.isclose(quality.quantile(d, share), np.percentile(xs, 100 * share), rel_tol=1e-12)
