@@ -36,6 +36,8 @@ SCALE = 4096
 LOW = 0.01
 #: So many scores are sorted by the driver; of more a histogram of BINS tells where to look.
 FEW, BINS = 10_000, 4096
+#: Ids of trusted documents that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 MIN_WORDS = 50
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,20 +56,35 @@ def _trusted(labels: DataFrame) -> DataFrame:
     return good.select("doc_id", (F.xxhash64(F.lit(7), "doc_id") % 2 == 0).alias("teaches"))
 
 
-def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
-    """The log ratio of each bucket. Collects DIMENSIONS rows at most."""
-    d = docs.select("doc_id", words_of("text").alias("words")).join(F.broadcast(trusted.filter("teaches")), "doc_id", "left")
-    rows = d.selectExpr("teaches", "words AS a", "slice(words, 2, size(words)) AS b", "slice(words, 3, size(words)) AS c").select("teaches", F.inline(F.arrays_zip("a", "b", "c")))
+def known(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, text and teaches of the trusted documents. Ids are broadcast up to a checked
+    number; for more of them the texts move to them once, and those met are written."""
+    cut = Cut(docs.sparkSession)
+    trusted = cut(trusted)
+    few = trusted.count() <= MOST_BROADCAST
+    met = docs.select("doc_id", "text").join(F.broadcast(trusted) if few else trusted.hint("merge"), "doc_id").select("doc_id", "text", "teaches")
+    return met if few else Cut(docs.sparkSession)(met)
+
+
+def _buckets(docs: DataFrame) -> dict[int, int]:
+    """How many n-grams of all texts fall in each bucket. Collects DIMENSIONS rows at most."""
+    d = docs.select(words_of("text").alias("words"))
+    rows = d.selectExpr("words AS a", "slice(words, 2, size(words)) AS b", "slice(words, 3, size(words)) AS c").select(F.inline(F.arrays_zip("a", "b", "c")))
     # as far as the text goes: no pair begins at the last word, and no triple at the last two
-    hashes = rows.selectExpr("teaches", "xxhash64(a) AS x", "CASE WHEN b IS NOT NULL THEN xxhash64(b) END AS y", "CASE WHEN c IS NOT NULL THEN xxhash64(c) END AS z")
-    grams = hashes.selectExpr("teaches", "explode(array(x, CASE WHEN y IS NOT NULL THEN xxhash64(x, y) END, CASE WHEN z IS NOT NULL THEN xxhash64(x, y, z) END)) AS h").filter("h IS NOT NULL")
-    counts = grams.selectExpr("teaches", f"cast(h & {DIMENSIONS - 1} AS int) AS bucket").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("teaches").alias("target")).collect()
-    raw, target = sum(r.raw for r in counts), sum(r.target for r in counts)
+    hashes = rows.selectExpr("xxhash64(a) AS x", "CASE WHEN b IS NOT NULL THEN xxhash64(b) END AS y", "CASE WHEN c IS NOT NULL THEN xxhash64(c) END AS z")
+    grams = hashes.selectExpr("explode(array(x, CASE WHEN y IS NOT NULL THEN xxhash64(x, y) END, CASE WHEN z IS NOT NULL THEN xxhash64(x, y, z) END)) AS h").filter("h IS NOT NULL")
+    return dict(grams.selectExpr(f"cast(h & {DIMENSIONS - 1} AS int) AS bucket").groupBy("bucket").count().collect())
+
+
+def weights(docs: DataFrame, teaching: DataFrame) -> list[int]:
+    """The log ratio of each bucket, of all documents and all that teach."""
     out = [0] * DIMENSIONS
-    if target:
-        base = math.log((raw + 0.5 * DIMENSIONS) / (target + 0.5 * DIMENSIONS))
-        for r in counts:
-            out[r.bucket] = round(SCALE * (math.log((r.target + 0.5) / (r.raw + 0.5)) + base))
+    of_target = _buckets(teaching)
+    if of_target:
+        of_raw = _buckets(docs)
+        base = math.log((sum(of_raw.values()) + 0.5 * DIMENSIONS) / (sum(of_target.values()) + 0.5 * DIMENSIONS))
+        for b, n in of_raw.items():
+            out[b] = round(SCALE * (math.log((of_target.get(b, 0) + 0.5) / (n + 0.5)) + base))
     return out
 
 
@@ -143,11 +160,10 @@ def quantile(scores: DataFrame, share: float) -> float:
     return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, table: Column) -> float:
+def threshold(unseen: DataFrame, table: Column) -> float:
     """By the trusted documents that did not teach and pass the base rules."""
-    unseen = docs.select("doc_id", "text").join(F.broadcast(trusted.filter("NOT teaches").select("doc_id")), "doc_id", "left_semi")
     # no filter before the cut, which would be pushed below the counts
-    seen = Cut(docs.sparkSession)(counted(unseen, table).select(F.when(~F.col("base_failed"), _score()).alias("score"))).filter("score IS NOT NULL")
+    seen = Cut(unseen.sparkSession)(counted(unseen, table).select(F.when(~F.col("base_failed"), _score()).alias("score"))).filter("score IS NOT NULL")
     if not seen.limit(1).count():
         return 0.0
     low, middle = quantile(seen, LOW), quantile(seen, 0.5)
@@ -156,10 +172,10 @@ def threshold(docs: DataFrame, trusted: DataFrame, table: Column) -> float:
 
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """r, the rows of docs, and v, a struct of MADE."""
-    trusted = _trusted(labels)
-    w = weights(docs, trusted)
+    trusted = known(docs, _trusted(labels))
+    w = weights(docs, trusted.filter("teaches"))
     table = F.split(F.lit(",".join(map(str, w))), ",").cast("array<bigint>")
-    least = threshold(docs, trusted, table) if any(w) else 0.0
+    least = threshold(trusted.filter("NOT teaches"), table) if any(w) else 0.0
     d = counted(docs, table).withColumn("score", _score()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
     # a filter on the results is not to be pushed below them, where it would work out the
     # word arrays once for each of their elements; it does not pass a generator

@@ -120,3 +120,13 @@ def test_quantiles_are_exact(spark, monkeypatch):
         d = spark.createDataFrame([(x,) for x in xs], "score double").repartition(3)
         for share in (0.01, 0.5):
             assert math.isclose(quality.quantile(d, share), np.percentile(xs, 100 * share), rel_tol=1e-12)
+
+
+def test_trusted_documents_beyond_a_broadcast(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"w{i % 7} " * (50 + i)) for i in range(80)] + [(None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    want = quality.judged(d, labels).collect()
+    monkeypatch.setattr(quality, "MOST_BROADCAST", 10)
+    teaching = quality.known(d, quality._trusted(labels))
+    assert teaching.count() == 60
+    assert Counter(quality.judged(d, labels).collect()) == Counter(want)
