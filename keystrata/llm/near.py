@@ -208,7 +208,8 @@ def candidates(nodes: DataFrame, form: Shape = Shape()) -> DataFrame:
     n = full.count()
     small = lambda d: F.broadcast(d) if n <= BROADCAST_KEYS else d
     light = entered.join(small(full), "key", "left_anti") if n else entered
-    met = asked.join(light, "key").filter((F.col("comp") != F.col("of_other")) & _alike("head", "ahead", form)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    # by sorting: the asks are many more than the files they come from tell
+    met = asked.join(light.hint("merge"), "key").filter((F.col("comp") != F.col("of_other")) & _alike("head", "ahead", form)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     if not n:
         return met
     # of each crowd its largest component; any one would do
@@ -324,7 +325,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # keys that go, and those of which one row stays
     decided = Cut(docs.sparkSession)(keys.withColumn("stays", stays).filter("NOT stays OR n > 1").select(*[F.col(c).alias(f"k_{c}") for c in KEY], "stays"))
     on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in KEY]
-    out = keyed.join(decided, on, "left_anti")
+    # the rows with their texts only move for more keys than are broadcast
+    small = F.broadcast if decided.count() <= BROADCAST_KEYS else lambda d: d
+    out = keyed.join(small(decided), on, "left_anti")
     if decided.filter("stays").limit(1).count():
-        out = out.unionByName(keyed.join(decided.filter("stays"), on, "left_semi").dropDuplicates(KEY))
+        out = out.unionByName(keyed.join(small(decided.filter("stays")), on, "left_semi").dropDuplicates(KEY))
     return out.select("row.*")

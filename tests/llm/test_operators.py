@@ -326,6 +326,19 @@ def test_windows_with_one_hash_are_told_apart():
     assert windows(inverse * np.uint64(0)) == want
 
 
+def test_near_copies_go_without_moving_texts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.createDataFrame([(1, "a copy of a text"), (2, "a copy of a text"), (3, "another")], "doc_id bigint, text string")
+        out = near.deduplicated(d)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert sorted(x.doc_id for x in out.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("alphabet", [2, 3, 8])
 def test_smaller_ids_are_all_found(alphabet):
     """The repeat groups of a bucket against every window of its stretches."""
