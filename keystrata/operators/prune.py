@@ -11,6 +11,8 @@ BROADCAST_RUNS = 100_000
 BLOOM_BITS, BLOOM_HASHES = 958_506, 7
 #: Bits of one row of a filter.
 BITMAP = 32_768
+#: Up to so many bytes of filters are broadcast with the key ranges.
+BROADCAST_FILTERS = 64 << 20
 
 
 def _prefix(key: Column) -> Column:
@@ -19,6 +21,22 @@ def _prefix(key: Column) -> Column:
     return byte(1) * 256 + byte(2)
 
 
+def _spread(probes: DataFrame) -> DataFrame:
+    """The distinct keys, in several tasks a core however few bytes they are: each is
+    compared with all runs."""
+    spark = probes.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return probes.select("key").repartition(n, "key").distinct()
+
+
+def _few(runs: DataFrame, most: int) -> bool:
+    return runs.select("run_id").limit(most + 1).count() <= most
+
+
+def _inside() -> Column:
+    return (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
+
+
 def fence(probes: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """(key, run_id) where the key lies in the run's closed range.
 
@@ -55,6 +73,35 @@ def might_contain(candidates: DataFrame, filters: DataFrame, bits: int = BLOOM_B
     return said.filter("maybe").select("key", "run_id")
 
 
+def _words(log: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """(run_id, words): the Bloom filter of each run's keys as an array of 64-bit words."""
+    at = log.select("run_id", _bits(bits, hashes).alias("_bits")).select("run_id", F.explode("_bits").alias("at")).filter("at IS NOT NULL")
+    words = at.groupBy("run_id", F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("set"))
+    by_word = words.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("_set"))
+    of = lambda i: F.coalesce(F.try_element_at("_set", i), F.lit(0).cast("bigint"))
+    return by_word.select("run_id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((bits - 1) // 64).cast("bigint")), of).alias("words"))
+
+
+def candidates(probes: DataFrame, runs: DataFrame, log: DataFrame, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES, broadcast_runs: int = BROADCAST_RUNS, broadcast_filters: int = BROADCAST_FILTERS) -> DataFrame:
+    """(key, run_id) that `fence` and the filters of `log` leave.
+
+    Filters of up to BITMAP bits, `broadcast_filters` bytes of them, are broadcast with the
+    ranges of at most `broadcast_runs` runs: a pair is judged where it arises and only what
+    stays is a row. Otherwise the pairs of the fences are joined with the filters.
+    """
+    if bits > BITMAP or not _few(runs, min(broadcast_runs, broadcast_filters * 8 // bits)):
+        return might_contain(fence(probes, runs, broadcast_runs), bloom_filters(log, bits, hashes), bits, hashes)
+    judged = runs.select("run_id", "min_key", "max_key").join(_words(log, bits, hashes), "run_id")
+    asked = _spread(probes).withColumn("_bits", _bits(bits, hashes))
+    word = lambda i: F.expr(f"int(_bits[{i}] div 64)").alias(f"_word{i}")
+    mask = lambda i: F.expr(f"shiftleft(1L, int(_bits[{i}] % 64))").alias(f"_mask{i}")
+    asked = asked.select("key", *[f(i) for i in range(hashes) for f in (word, mask)])
+    said = _inside()
+    for i in range(hashes):
+        said &= F.get(F.col("words"), F.col(f"_word{i}")).bitwiseAND(F.col(f"_mask{i}")) != 0
+    return asked.join(F.broadcast(judged), said).select("key", "run_id")
+
+
 def block_index(blocks: DataFrame) -> DataFrame:
     """The last key of each block."""
     return blocks.groupBy("run_id", "block_id").agg(F.max("key").alias("last_key"), F.count("*").alias("entries"))

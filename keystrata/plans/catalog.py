@@ -184,7 +184,7 @@ def q_fence_prune(spark, d):
 @query
 def q_bloom_candidates(spark, d):
     """What the fences and each run's Bloom filter leave, false answers among it."""
-    return text(prune.might_contain(prune.fence(_asked(spark, d), _runs(spark, d)), prune.bloom_filters(primary_log(spark, d), *FILTER), *FILTER))
+    return prune.candidates(text(_asked(spark, d)), text(_runs(spark, d)), primary_log(spark, d), *FILTER)
 
 
 def _blocks(spark, d) -> DataFrame:
