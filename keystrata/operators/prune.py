@@ -17,7 +17,7 @@ BROADCAST_FILTERS = 64 << 20
 
 def _prefix(key: Column) -> Column:
     """The first two bytes as a number, which never falls as keys rise."""
-    byte = lambda i: F.coalesce(F.conv(F.nullif(F.hex(F.substring(key, i, 1)), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    byte = lambda i: F.coalesce(F.conv(F.nullif(F.hex(F.substring(key.cast("binary"), i, 1)), F.lit("")), 16, 10).cast("int"), F.lit(0))
     return byte(1) * 256 + byte(2)
 
 
@@ -38,17 +38,17 @@ def _inside() -> Column:
 
 
 def fence(probes: DataFrame, runs: DataFrame, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
-    """(key, run_id) where the key lies in the run's closed range.
+    """(key, run_id) where the distinct key lies in the run's closed range. Keys are bytes
+    or text, in both tables.
 
     The runs' metadata are broadcast up to `broadcast_runs` runs, which are counted; more
     are spread under the two-byte prefixes of their range and joined by these.
     """
     ranges = runs.select("run_id", "min_key", "max_key")
-    inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
-    if ranges.limit(broadcast_runs + 1).count() <= broadcast_runs:
-        return probes.join(F.broadcast(ranges), inside).select("key", "run_id")
+    if _few(runs, broadcast_runs):
+        return _spread(probes).join(F.broadcast(ranges), _inside()).select("key", "run_id")
     spread = ranges.withColumn("_prefix", F.explode(F.sequence(_prefix(F.col("min_key")), _prefix(F.col("max_key")))))
-    return probes.withColumn("_prefix", _prefix(F.col("key"))).join(spread, "_prefix").filter(inside).select("key", "run_id")
+    return probes.select("key").distinct().withColumn("_prefix", _prefix(F.col("key"))).join(spread, "_prefix").filter(_inside()).select("key", "run_id")
 
 
 def _bits(bits: int, hashes: int) -> Column:

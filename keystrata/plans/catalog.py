@@ -178,7 +178,7 @@ def q_level_threshold(spark, d):
 
 @query
 def q_fence_prune(spark, d):
-    return text(prune.fence(_asked(spark, d), _runs(spark, d)))
+    return prune.fence(text(_asked(spark, d)), text(_runs(spark, d)))
 
 
 @query

@@ -9,7 +9,7 @@ import pytest
 from compare import connect, same
 from pyspark.sql import functions as F
 
-from keystrata.operators import prune, runs
+from keystrata.operators import prune
 from keystrata.plans.catalog import FILTER, QUERIES
 from keystrata.plans.oracles import ORACLES
 
@@ -55,7 +55,7 @@ def grown(tmp_path, times: int, **tables: str) -> str:
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["q_bloom_candidates"])
+@pytest.mark.parametrize("name", ["q_bloom_candidates", "q_fence_prune"])
 def test_pairs_of_repeated_tables_are_those_of_sql(spark, tmp_path, name):
     """Suppliers twice: a key is asked once."""
     d = grown(tmp_path, 4, events="event_id + 1000 * k AS event_id, user_id + 10 * k AS user_id", supplier="s_suppkey + 10 * (k // 2) AS s_suppkey")
@@ -63,3 +63,19 @@ def test_pairs_of_repeated_tables_are_those_of_sql(spark, tmp_path, name):
     for t in ("events", "supplier"):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     same(QUERIES[name](spark, d), con, ORACLES[name])
+
+
+def test_fences_are_compared_in_many_tasks(spark):
+    """However small the file of the asked keys is."""
+    assert QUERIES["q_fence_prune"](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_fences_of_text(spark):
+    r = random.Random(7)
+    key = lambda: "".join(r.choice("a\x00z\u00e9\u4e2d\U0001f600") for _ in range(r.randrange(4)))
+    ranges = [sorted((key(), key()), key=str.encode) for _ in range(40)]
+    probes = [key() for _ in range(60)]
+    of = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ranges)], "run_id bigint, min_key string, max_key string")
+    want = sorted((k, i) for k in set(probes) for i, (a, b) in enumerate(ranges) if a.encode() <= k.encode() <= b.encode())
+    for most in (1000, 3):
+        assert sorted((x.key, x.run_id) for x in prune.fence(spark.createDataFrame([(k,) for k in probes], "key string"), of, most).collect()) == want
