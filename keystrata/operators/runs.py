@@ -34,8 +34,10 @@ def memtable_size(tail: DataFrame) -> DataFrame:
 
 
 def _folded(rows: DataFrame, by: str, order: list[str], sizes: list[str], step: Callable[[], Callable[..., int]], name: str) -> DataFrame:
-    """rows (by, order, sizes and others) with `name`, a number that a fold in order gives
-    within each value of `by`. A task streams its rows; step() makes the fold of one value."""
+    """rows (by, order, sizes) with `name`, a number that a fold in order gives within each
+    value of `by`. A task streams its rows; step() makes the fold of one value. Other columns
+    stay out, as a batch of large values would fill the worker's memory."""
+    rows = rows.select(*dict.fromkeys([by, *order, *sizes]))
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, number = object(), None
@@ -77,7 +79,7 @@ def flush_ids(log: DataFrame, limit: int, shard: str, limit_bytes: int | None =
         return put
 
     size = F.lit(0) if limit_bytes is None else entry_size()
-    return _folded(log.select(shard, "seq", "key", size.alias("_size")), shard, ["seq"], ["key", "_size"], buffer, "flush_id").select(shard, "seq", "flush_id")
+    return _folded(log.withColumn("_size", size), shard, ["seq"], ["key", "_size"], buffer, "flush_id").select(shard, "seq", "flush_id")
 
 
 def _rolled(full: Callable[[int, int], bool]) -> Callable[[], Callable[[int], int]]:
@@ -99,14 +101,15 @@ def _rolled(full: Callable[[int, int], bool]) -> Callable[[], Callable[[int], in
 
 
 def block_ids(run: DataFrame, size: Column, block_bytes: int = BLOCK_BYTES, by: str = "run_id") -> DataFrame:
-    """run with block_id: a block ends before the record that would not fit, and a record
-    larger than a block has one of its own. A fold over each run in key order."""
+    """(by, key, seq, block_id) of a run's records: a block ends before the record that would
+    not fit, and a record larger than a block has one of its own. A fold over each run in key
+    order."""
     return _folded(run.withColumn("_size", size), by, ["key", "seq"], ["_size"], _rolled(lambda written, size: written + size > block_bytes), "block_id").drop("_size")
 
 
 def file_ids(entries: DataFrame, size: Column, target: int, by: str) -> DataFrame:
-    """entries with file_id: a writer's file ends before the record with which it would pass
-    the target size, what was written counting 1.2 times. `by` names the column of
+    """(by, key, seq, file_id) of entries: a writer's file ends before the record with which it
+    would pass the target size, what was written counting 1.2 times. `by` names the column of
     independent writers, each with a key range of its own."""
     return _folded(entries.withColumn("_size", size), by, ["key", "seq"], ["_size"], _rolled(lambda written, size: int(written * FILE_OVERHEAD) + size > target), "file_id").drop("_size")
 

@@ -9,7 +9,8 @@ import pytest
 from compare import connect, same
 from pyspark.sql import functions as F
 
-from keystrata.operators import prune
+from keystrata.functions import scalar
+from keystrata.operators import prune, runs
 from keystrata.plans.catalog import FILTER, QUERIES
 from keystrata.plans.oracles import ORACLES
 
@@ -79,3 +80,16 @@ def test_fences_of_text(spark):
     want = sorted((k, i) for k in set(probes) for i, (a, b) in enumerate(ranges) if a.encode() <= k.encode() <= b.encode())
     for most in (1000, 3):
         assert sorted((x.key, x.run_id) for x in prune.fence(spark.createDataFrame([(k,) for k in probes], "key string"), of, most).collect()) == want
+
+
+def test_values_stay_out_of_the_fold(spark):
+    """Blocks and files roll by sizes, and batches of large values would fill a worker's memory."""
+    rows = [(w, bytearray(b"%03d" % i), i, bytearray(i % 7 * 10)) for w in (1, 2) for i in range(50)]
+    d = spark.createDataFrame(rows, "run_id bigint, key binary, seq bigint, value binary").withColumn("tombstone", F.lit(False))
+    size = scalar.record_size()
+    for out in (runs.block_ids(d, size, 100), runs.file_ids(d, size, 500, "run_id")):
+        fed = next(line for line in plan(out).splitlines() if "MapInPandas" in line)
+        assert "value" not in fed and "tombstone" not in fed and out.count() == 100
+    for name in ("q_block_assign", "q_block_seek", "q_file_roll", "q_restart_points", "q_restart_search"):
+        fed = [line for line in plan(QUERIES[name](spark, "/root/testdata/sf0.01")).splitlines() if "MapInPandas" in line]
+        assert fed and not any("value" in line for line in fed)
